@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, exact_dedup, html_extract, license_scan, simhash, source_mix, suffix_dedup, toxicity, warc
+from sparkloom.llm import ctw, decontaminate, exact_dedup, html_extract, license_scan, simhash, source_mix, suffix_dedup, toxicity, warc
 from sparkloom.llm.common import table
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.n_covered(F.col("spans")).cast("long")
@@ -53,6 +57,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
     "op2_decontaminate": op2_decontaminate,
     "op3_license_scan": op3_license_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
