@@ -7,7 +7,7 @@ states, and the window's logit is linear in the pool. A document is cut into
 windows of WINDOW words, each STRIDE after the one before and the last at its end,
 and scores as its highest window; a text without words scores as an empty window.
 
-The network is trained in numpy on the driver, from at most train_docs labelled
+The network is trained in numpy, in one task, from at most train_docs labelled
 texts of at most train_bytes bytes each, those with the smallest hash of their id.
 Tables start from the document frequencies of words and grams among those texts:
 the lower bound of their log odds. A document's label is taught to its highest
@@ -17,6 +17,7 @@ each distinct word of a chunk is embedded once.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,26 +168,26 @@ def train(texts: list[bytes], label: np.ndarray, seed: int = 5) -> dict[str, np.
         return net
     words = Words(texts)
     of_text = np.repeat(np.arange(len(texts)), np.diff(words.first))
-    pair = np.unique(of_text * len(words.row) + words.of)
-    doc, word = pair // len(words.row), pair % len(words.row)
-
-    def counted(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = np.unique(doc * BUCKETS + row)
-        doc, row = seen // BUCKETS, seen % BUCKETS
-        return np.bincount(row, weights=label[doc], minlength=BUCKETS), np.bincount(row, weights=1 - label[doc], minlength=BUCKETS)
-
-    grams = [np.concatenate(x) for x in zip(*words.grams())]
-    order = np.argsort(grams[0], kind="stable")
-    gram_word, gram_row = grams[0][order], grams[1][order]
-    lo, n = np.searchsorted(gram_word, word), np.searchsorted(gram_word, word, "right")
-    n = n - lo
-    spread = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    for name, (t, c) in (("word", counted(doc, words.row[word])), ("char", counted(np.repeat(doc, n), gram_row[spread]))):
+    # In how many toxic and clean texts each table row stands, a few texts at a time.
+    seen = {"word": np.zeros((2, BUCKETS)), "char": np.zeros((2, BUCKETS))}
+    for i in range(0, len(texts), 64):
+        part = slice(words.first[i], words.first[min(i + 64, len(texts))])
+        if part.start == part.stop:
+            continue
+        own, at = np.unique(words.of[part], return_inverse=True)
+        sub = Subset(words, own)
+        pair = np.unique(of_text[part] * len(own) + at)
+        doc, word = pair // len(own), pair % len(own)
+        lo = np.searchsorted(sub.word, word)
+        n = np.searchsorted(sub.word, word, "right") - lo
+        spread = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for name, of, row in (("word", doc, words.row[own][word]), ("char", np.repeat(doc, n), sub.row[spread])):
+            once = np.unique(of * BUCKETS + row)
+            np.add.at(seen[name], (label[once // BUCKETS], once % BUCKETS), 1)
+    for name, (c, t) in seen.items():
         known = t + c >= 2
         net[name][:, 0] = np.where(known, bound(t, c, n_toxic, n_clean), 0)
         net[name][:, 1:] = np.where(known[:, None], r.normal(size=(BUCKETS, net[name].shape[1] - 1)) * 0.1, 0)
-    del grams, gram_word, gram_row, spread
-
     dense = [k for k in net if k not in ("word", "char")]
     m, v = {k: np.zeros_like(net[k]) for k in dense}, {k: np.zeros_like(net[k]) for k in dense}
     square = {k: np.full(BUCKETS, 1e-2, np.float32) for k in ("word", "char")}
@@ -347,10 +348,17 @@ def score_toxicity(
     held = lambda c: F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit(""))), F.lit(fold_of[0])) == fold_of[1]
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("_y")).where(~held(F.col("_l")))
     sample = known.groupBy("_l").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_l"), "_l").limit(train_docs)
-    # At most train_docs labels are broadcast, and train_docs texts of train_bytes come to the driver.
+    # At most train_docs labels are broadcast, and train_docs texts of train_bytes come to one task.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.octet_length("_t") <= train_bytes)
-    rows = texts.join(F.broadcast(sample), F.col("_id") == F.col("_l")).orderBy(F.xxhash64("_id"), "_id", "_t").limit(train_docs).select("_t", "_y").collect()
-    net = train([r["_t"].encode() for r in rows], np.array([min(1, max(0, r["_y"])) for r in rows], np.int64))
+    rows = texts.join(F.broadcast(sample), F.col("_id") == F.col("_l")).orderBy(F.xxhash64("_id"), "_id", "_t").limit(train_docs).select("_t", "_y")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in batch.to_pylist()]
+        net = train([r["_t"].encode() for r in got], np.array([min(1, max(0, r["_y"])) for r in got], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    # One task, also for no rows at all; the parameters are some 2 MB.
+    net = pickle.loads(rows.coalesce(1).mapInArrow(fit, "net binary").collect()[0][0])
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,4 +373,4 @@ def score_toxicity(
     kind = {f.name: f.dataType.simpleString() for f in rows_in.schema}
     schema = ", ".join(f"`{c}` {k}" for c, k in kind.items() if c != "_t" or kept) + ", _s double"
     scored = rows_in.mapInArrow(run, schema)
-    return scored.select(F.col("_id").alias(id_col), held(F.col("_id")).alias("held_out"), F.col("_s").alias("score"), *[F.col("_t" if c == text_col else f"_c_{c}").alias(c) for c in carry])
+    return scored.select(F.col("_id").alias(id_col), held(F.col("_id")).alias("held_out"), F.col("_s").alias("score"), *[F.col("_t" if c == text_col else f"_c_{c}").alias(c) for c in carry if c != id_col])
