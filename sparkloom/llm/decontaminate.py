@@ -112,7 +112,7 @@ def chunks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def _scan(block, every: bool):
+def _scan(block, every: bool, carry: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = block.value
         for batch in batches:
@@ -125,16 +125,16 @@ def _scan(block, every: bool):
                     spans[begin + text].append({"start": a, "end": e})
                     items[begin + text].add(index.ids[item])
             out = pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_th"), pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([list(x) for x in items], pa.list_(pa.string()))],
-                names=["_id", "_th", "n_words", "spans", "items"],
+                [batch.column("_id"), batch.column("_th"), *(batch.column(c) for c in carry), pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([list(x) for x in items], pa.list_(pa.string()))],
+                names=["_id", "_th", *carry, "n_words", "spans", "items"],
             )
             yield out if every else out.filter(pa.array([bool(x) for x in spans]))
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, n_words, spans (array of start and end in words, overlaps possible), items (array of the item ids, as strings).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: the id, n_words, spans (array of start and end in words, overlaps possible), items (array of the item ids, as strings), and the columns named in carry.
 
     A null text has no words, and neither has a null item, which no document can
     contain. An item without an id counts as "null". Items repeated under one id
@@ -146,26 +146,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(item_text_col).alias("t")).where("t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    scan_of = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_t"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, _th bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    others = [f"_c_{c}" for c in carry]
+    scan_of = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    kinds = {f.name: f.dataType.simpleString() for f in scan_of.schema}
+    found_columns = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    schema = f"_id {kinds['_id']}, _th bigint, {found_columns}"
+    full = f"_id {kinds['_id']}, _th bigint, {''.join(f'`{c}` {kinds[c]}, ' for c in others)}{found_columns}"
     passes = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
         block = spark.sparkContext.broadcast(Block([r["i"] for r in rows], [r["t"].encode() for r in rows], span, gram))
-        passes.append(scan_of.mapInArrow(_scan(block, blocks == 1 or k == blocks), schema))
+        passes.append(scan_of.mapInArrow(_scan(block, True, tuple(others)), full) if blocks == 1 else scan_of.mapInArrow(_scan(block, False), schema))
     if blocks == 1:
         out = passes[0]
     else:
         # Rows of the same id and text have the same hits.
         none = spark.sparkContext.broadcast(Block([], [], span, gram))
-        every = scan_of.mapInArrow(_scan(none, True), schema).select("_id", "_th", "n_words")
+        every = scan_of.mapInArrow(_scan(none, True, tuple(others)), full).drop("spans", "items")
         found = passes[0]
         for p in passes[1:]:
             found = found.union(p)
         merged = found.groupBy(F.col("_id").alias("_i2"), F.col("_th").alias("_t2")).agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
         out = every.join(merged, F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_th") == F.col("_t2")), "left").withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.select(F.col("_id").alias(id_col), "n_words", "spans", "items")
+    return out.select(F.col("_id").alias(id_col), "n_words", "spans", "items", *[F.col(f"_c_{c}").alias(c) for c in carry if c != id_col])
 
 
 def n_covered(spans):

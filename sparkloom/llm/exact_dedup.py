@@ -34,8 +34,11 @@ def normalised(text: Column) -> Column:
     return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
 
 
-def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, keep_id, group_size, kept, text_sha256.
+def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: the id, keep_id, group_size, kept, text_sha256, and the columns named in carry.
+
+    The carried columns take part in the sort, so no join has to find them again;
+    if the text is one of them it goes as it is and is normalised on either side.
 
     Nulls in the text count as empty. A null id sorts after all others, and is
     keep_id only where the whole group has no id. Of repeated rows with the same
@@ -43,8 +46,9 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_n"))
-    keyed = base.select("_id", "_n", F.substring("_n", 1, 32).alias("_p"), F.xxhash64("_n").alias("_h"))
+    others = [F.col(c).alias(f"_c_{c}") for c in carry]
+    base = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_n"), *others)
+    keyed = base.select("_id", "_n", F.substring("_n", 1, 32).alias("_p"), F.xxhash64("_n").alias("_h"), *[f"_c_{c}" for c in carry])
     least = max(HOT_ROWS, docs.select().count() // HOT_KEYS + 1)
     # At most HOT_KEYS values, for each stands for one in HOT_KEYS of the rows.
     hot = [r[0] for r in keyed.groupBy("_h").count().where(F.col("count") >= least).select("_h").collect()]
@@ -52,6 +56,9 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     salted = keyed.withColumn("_s", F.when(F.col("_h").isin(hot), salt).otherwise(F.lit(0)) if hot else F.lit(0))
     ranged = salted.repartitionByRange(shuffle_partitions(spark), "_p", "_h", "_s")
 
+    if text_col in carry:
+        ranged = keyed.drop("_n").withColumn("_s", F.when(F.col("_h").isin(hot), salt).otherwise(F.lit(0)) if hot else F.lit(0)).repartitionByRange(shuffle_partitions(spark), "_p", "_h", "_s").withColumn("_n", normalised(F.col(f"_c_{text_col}")))
+    kept_columns = [f"_c_{c}" for c in carry]
     key = ["_p", "_h", "_s"]
     by_content = Window.partitionBy(*key).orderBy(F.col("_n"), F.col("_id").asc_nulls_last())
     runs = (
@@ -59,10 +66,10 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("_new", F.when(F.lag("_n").over(by_content) == F.col("_n"), 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(by_content))
     )
-    digests = runs.select("_id", *key, "_q", "_run", F.sha2(F.encode("_n", "UTF-8"), 256).alias("_d"))
+    digests = runs.select("_id", *key, "_q", "_run", F.sha2(F.encode("_n", "UTF-8"), 256).alias("_d"), *kept_columns)
     in_run = Window.partitionBy(*key, "_run").orderBy("_q")
     whole = in_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = digests.select("_id", *key, "_d", F.first("_id").over(whole).alias("_k"), F.count(F.lit(1)).over(whole).alias("_c"), F.row_number().over(in_run).alias("_r"))
+    local = digests.select("_id", *key, "_d", F.first("_id").over(whole).alias("_k"), F.count(F.lit(1)).over(whole).alias("_c"), F.row_number().over(in_run).alias("_r"), *kept_columns)
     if hot:
         heads = local.where(F.col("_h").isin(hot) & (F.col("_r") == 1))
         # Few rows: HOT_KEYS times SALTS at most.
@@ -74,5 +81,6 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.when(F.col("_cc").isNull(), F.col("_k")).otherwise(F.col("_f.k")).alias("_k"),
             F.coalesce("_cc", "_c").alias("_c"),
             F.when(F.col("_cc").isNull() | (F.col("_s") == F.col("_f.s")), F.col("_r")).otherwise(2).alias("_r"),
+            *kept_columns,
         )
-    return local.select(F.col("_id").alias(id_col), F.col("_k").alias("keep_id"), F.col("_c").cast("long").alias("group_size"), (F.col("_r") == 1).alias("kept"), F.col("_d").alias("text_sha256"))
+    return local.select(F.col("_id").alias(id_col), F.col("_k").alias("keep_id"), F.col("_c").cast("long").alias("group_size"), (F.col("_r") == 1).alias("kept"), F.col("_d").alias("text_sha256"), *[F.col(f"_c_{c}").alias(c) for c in carry if c != id_col])

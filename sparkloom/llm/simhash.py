@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_arrow, materialize, shuffle_partitions
 from sparkloom.llm.components import connected_components
+from sparkloom.llm.rolling import BASE, gram_hashes, mixed
 
 #: A block value is cut again if it has this many fingerprints, and one in HOT_KEYS of all.
 HOT_ROWS, HOT_KEYS = 20_000, 1000
@@ -107,7 +108,7 @@ class Forest:
             np.minimum.at(self.parent, a, b)
 
 
-def trie_links(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget: int, forest: Forest) -> None:
+def trie_links(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget: int, forest: Forest | Classes) -> None:
     """Links all places of values (sorted, distinct within a range) that differ in at most `budget` bits and stand in one range. Each range agrees on all bits from `top` on."""
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
@@ -142,6 +143,55 @@ def cuts(bits: int, parts: int) -> list[int]:
     return [bits // parts + (i < bits % parts) for i in range(parts)]
 
 
+class Classes:
+    """Values that may stand several times, each time with a longer fingerprint that has the last word on a link."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray, sketch: np.ndarray, most: int, forest: Forest) -> None:
+        """start and end: the rows of each value; most: differing bits of sketches that link."""
+        self.sketch, self.most, self.forest = sketch, most, forest
+        self.first = start
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.more: dict[int, np.ndarray] = {}
+        for c in np.flatnonzero(end - start > 1):
+            # Each leader is compared with all rows of the class, and what it doesn't reach has the next leader.
+            rows, open_, got = np.arange(start[c], end[c]), np.ones(end[c] - start[c], bool), []
+            while open_.any():
+                lead = rows[np.argmax(open_)]
+                near = self.near(np.full(len(rows), lead), rows)
+                self.join(np.full(near.sum(), lead), rows[near])
+                got.append(lead)
+                open_ &= ~near
+                open_[lead - start[c]] = False
+            if len(got) > 1:
+                self.more[int(c)] = np.array(got)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(axis=1, dtype=np.int64) <= self.most
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """a, b: values that differ in few bits."""
+        if self.more:
+            many = np.array([int(x) in self.more or int(y) in self.more for x, y in zip(a, b)], bool)
+            for x, y in zip(a[many].tolist(), b[many].tolist()):
+                u, v = (self.more.get(z, self.first[z : z + 1]) for z in (x, y))
+                self.pairs(np.repeat(u, len(v)), np.tile(v, len(u)))
+            a, b = a[~many], b[~many]
+        self.pairs(self.first[a], self.first[b])
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        ok = self.near(a, b)
+        self.join(a[ok], b[ok])
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Notes the pairs that aren't connected yet, a few at a time, and connects them."""
+        for i in range(0, len(a), 2048):
+            x, y = a[i : i + 2048], b[i : i + 2048]
+            apart = self.forest.find(x) != self.forest.find(y)
+            if apart.any():
+                self.found.append((x[apart], y[apart]))
+                self.forest.link(x[apart], y[apart])
+
+
 def _joined(budget: int, top_of: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows: a bucket, the number of top bits that agree in it, and a rotated fingerprint with the turn that undoes it."""
@@ -167,6 +217,143 @@ def _joined(budget: int, top_of: dict[int, int]):
     return run
 
 
+def similar_bits(bits: int, similarity: float, slack: float = 1.5) -> int:
+    """Differing bits of SimHashes of two sets of one size with this Jaccard similarity: the mean and slack standard deviations."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = np.arccos(cosine) / np.pi
+    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
+
+
+def sketches(docs: DataFrame, shingle: int, tables: int) -> DataFrame:
+    """docs (_k, _t): (_k, fps, sketch). fps: SimHashes of the set of words, one for each table; sketch: a SimHash of 512 bits of the set of word shingles, or of the whole sequence if that is shorter, as binary."""
+    from sparkloom.llm.ctw import words_of
+    from sparkloom.llm.decontaminate import chunks
+
+    def bits_of(hashes: np.ndarray, longs: int) -> np.ndarray:
+        ones, salt = np.zeros(64 * longs, np.int64), np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(BASE)
+        for i in range(0, len(hashes), 4096):
+            ones += np.unpackbits(mixed(hashes[i : i + 4096, None] ^ mixed(salt)).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        return np.packbits(ones * 2 > len(hashes)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column("_t").to_pylist()]
+            fps, long = [], []
+            for a, b in chunks(texts, 2 << 20):
+                words, size = words_of(texts[a:b])
+                words = words.view(np.uint64)
+                grams = gram_hashes(words, shingle)
+                end = np.cumsum(size)
+                for e, n in zip(end.tolist(), size.tolist()):
+                    own = words[e - n : e]
+                    pieces = np.unique(grams[e - n : e - shingle + 1]) if n >= shingle else gram_hashes(own, n) if n else own
+                    fps.append(bits_of(np.unique(own), tables).tolist())
+                    long.append(bits_of(pieces, 8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(fps, pa.list_(pa.int64())), pa.array(long, pa.binary())], names=["_k", "fps", "sketch"])
+
+    return docs.mapInArrow(run, "_k bigint, fps array<bigint>, sketch binary")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs (_k, _t): (_k, _s), the distinct hashes of each text's shingles, as sketches() has them."""
+    from sparkloom.llm.ctw import words_of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for t in batch.column("_t").to_pylist():
+                words = words_of([(t or "").encode()])[0].view(np.uint64)
+                got.append(np.unique(gram_hashes(words, min(shingle, len(words)))).view(np.int64) if len(words) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(got, pa.list_(pa.int64()))], names=["_k", "_s"])
+
+    return docs.mapInArrow(run, "_k bigint, _s array<bigint>")
+
+
+def similar_links(rows: DataFrame, budget: int, most: int) -> DataFrame:
+    """rows (_k, fps, sketch): links (u, v) of rows of which two fingerprints of one table differ in at most `budget` bits and the sketches in at most `most`.
+
+    As in fingerprint_links(), by table and block. Rows with the same fingerprint
+    are linked to the first of them that they are similar to, and only such firsts
+    meet other fingerprints; pairs that others connect already are left out. So n
+    copies make no n squared pairs.
+    """
+    spark = rows.sparkSession
+    widths = cuts(64, budget + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        if not got.num_rows:
+            return
+        kind, key, value, node = (got.column(c).to_numpy() for c in ("kind", "key", "value", "_k"))
+        value = value.view(np.uint64)
+        order = np.lexsort((node, value, key, kind))
+        kind, key, value, node = kind[order], key[order], value[order], node[order]
+        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint64).reshape(len(order), -1)[order]
+        bucket = np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])))
+        own = np.flatnonzero(bucket | np.concatenate(([True], value[1:] != value[:-1])))
+        forest = Forest(len(value))
+        classes = Classes(own, np.concatenate((own[1:], [len(value)])), sketch, most, forest)
+        new = np.flatnonzero(bucket[own])
+        end = np.concatenate((new[1:], [len(own)]))
+        width = np.array(widths)[kind[own[new]] % 64]
+        for w in np.unique(width):
+            trie_links(value[own], new[width == w], end[width == w], 64 - int(w), budget, classes)
+        u, v = (np.concatenate([f[i] for f in classes.found] or [np.zeros(0, int)]) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[u], node[v])), pa.array(np.minimum(node[u], node[v]))], names=["u", "v"])
+
+    each = rows.select("_k", "sketch", F.posexplode("fps").alias("table", "fp"))
+    turned, at = [], 0
+    for i, w in enumerate(widths):
+        rot = F.col("fp") if not at else F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at))
+        turned.append(F.struct((F.col("table") * 64 + i).alias("kind"), F.shiftrightunsigned(rot, 64 - w).alias("key"), rot.alias("value")))
+        at += w
+    spread = each.select("_k", "sketch", F.explode(F.array(*turned)).alias("x")).select("x.*", "_k", "sketch").repartition(shuffle_partitions(spark), "kind", "key")
+    return spread.mapInArrow(run, "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 8, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows that go: (_k, component_id), _k as row_key() of the id and text. A group is a component of links, and its smallest id stays.
+
+    Candidates differ in `budget` bits at most in one of `tables` SimHashes of
+    their words, and their SimHashes of 512 bits of shingles are nearly as close as
+    `similarity` makes them. They link if the Jaccard similarity of their sets of
+    shingles (of hashes; lower-cased words between white space) is `similarity` or
+    more. Texts of fewer words than a shingle have one shingle, the whole sequence;
+    texts without words are alike. Rows equal in id and text stay or go together;
+    a row without an id stays only if its component has no id.
+    """
+    spark = docs.sparkSession
+    bounded_arrow(spark)
+    clean = spark.sparkContext._jvm.System.gc  # so that Spark deletes the shuffle files of finished steps
+    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_k", row_key("_id", "_t"))
+    rows = materialize(sketches(keyed.select("_k", "_t"), shingle, tables), "sketches")
+    pairs = materialize(similar_links(rows, budget, similar_bits(512, similarity)).where("u <> v").distinct(), "pairs")
+    clean()
+    some = pairs.select(F.explode(F.array("u", "v")).alias("_k")).distinct()
+    sets = materialize(shingle_sets(keyed.select("_k", "_t").join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
+    clean()
+    both = pairs.join(sets.select(F.col("_k").alias("u"), F.col("_s").alias("a")), "u").join(sets.select(F.col("_k").alias("v"), F.col("_s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    links = both.where((F.size("a") + F.size("b") == 0) | (common >= similarity * (F.size("a") + F.size("b") - common))).select("u", "v")
+    roots = connected_components(links)
+    clean()
+    members = materialize(keyed.select("_k", "_id").join(roots.withColumnRenamed("u", "_u"), F.col("_k") == F.col("_u")).select("_k", "_id", "root"), "members")
+    order = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_k").alias("k"))
+    least = members.groupBy(F.col("root").alias("_r")).agg(F.min(order).alias("m"))
+    return members.join(least, F.col("root") == F.col("_r")).where(F.col("_k") != F.col("m.k")).select("_k", F.col("m.i").alias("component_id")).distinct()
+
+
+def row_key(id_col: str, text_col: str):
+    """A row's address: a hash of its id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates() leaves, all columns."""
+    gone = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col).select(F.col("_k").alias("_gone"))
+    return docs.join(gone, row_key(id_col, text_col) == F.col("_gone"), "left_anti")
+
+
 def fingerprint_links(fps: DataFrame, budget: int) -> DataFrame:
     """fps (_fp): links (u, v) whose components are those of all pairs that differ in at most `budget` bits.
 
