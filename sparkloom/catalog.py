@@ -1,29 +1,19 @@
-"""Queries over the driver's tables, by name, each beside the SQL that must give the same rows."""
+"""All queries of the library but those of the training-data pipeline."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def revenue_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'1996-01-01' and o_orderdate < timestamp_ntz'1997-01-01'")
-    price = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
-    return _t(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.sum(price).cast("double").alias("revenue"), F.count("*").alias("n"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"revenue_by_priority": revenue_by_priority}
-
-ORACLES: dict[str, str] = {
-    "revenue_by_priority": """
-        SELECT o_orderpriority, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4))::DOUBLE AS revenue, count(*) AS n
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY o_orderpriority
-    """,
-}
+import sparkloom.functions.scalars
+import sparkloom.functions.user
+import sparkloom.operators.recipes
+import sparkloom.operators.relational
+import sparkloom.sources.formats
+import sparkloom.streaming.events  # noqa: F401
+from sparkloom.plans.registry import ORACLES, QUERIES, sql_query
+
+sql_query(
+    "revenue_by_priority",
+    "SELECT o_orderpriority, cast(sum(cast(l_extendedprice * (1 - l_discount) AS decimal(18,4))) AS double) AS revenue, count(*) AS n FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE o_orderdate >= timestamp_ntz'1996-01-01' AND o_orderdate < timestamp_ntz'1997-01-01' GROUP BY o_orderpriority",
+    "SELECT o_orderpriority, sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4))::DOUBLE AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY o_orderpriority",
+)
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-"""functions."""
+"""Scalar functions, user-defined functions, and vectors."""

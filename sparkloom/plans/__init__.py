@@ -1 +1 @@
-"""plans."""
+"""Named queries and what their plans look like."""

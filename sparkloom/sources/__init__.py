@@ -1 +1 @@
-"""sources."""
+"""Reading and writing tables."""
