@@ -17,8 +17,8 @@ are the same stand in one task, and need from outside only what lies above, sums
 by nearest byte, of which there are 256 times 255 at most. Each string then has a
 code length, and a text's score is a lookup of its strings.
 
-Strings and words go to all executors if there are at most `broadcast_rows` of
-them. Otherwise texts are dealt into blocks, each block asks for the strings and
+All executors read the tables of strings and words if these have at most
+`broadcast_rows` rows each. Otherwise texts are dealt into blocks, each block asks for the strings and
 words that it has, and the answers meet the texts again by block.
 """
 
@@ -32,17 +32,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_arrow, materialize, shuffle_partitions
+from sparkloom.llm.common import bounded_arrow, materialize, scratch_path, shuffle_partitions
 from sparkloom.llm.decontaminate import chunks
 from sparkloom.llm.rolling import BASE, prefix_hashes, runs, span_hashes
 
 DEPTH = 6
 END = 255
 CHUNK_BYTES = 2 << 20
-#: Strings, and words, that are broadcast (12 bytes each); and, beyond, bytes of text in a block.
+#: Strings, and words, that every worker holds (12 to 16 bytes each, and 4 to 11 for the index); and, beyond, bytes of text in a block.
 BROADCAST_ROWS, BLOCK_BYTES = 8_000_000, 32 << 20
-#: Entries that a task holds before it folds them into sums.
-FOLD = 4_000_000
+#: New entries that a task holds before it folds them into its sums.
+FOLD = 1_500_000
 LOG_HALF = np.log(0.5)
 SPACE_BYTE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
@@ -86,16 +86,19 @@ class Tally:
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.new = 0
 
     def add(self, values: np.ndarray, train: bool) -> None:
         v, n = tallied(values)
         self.parts.append((v, n if train else np.zeros(len(n), np.int64)))
-        if sum(len(p[0]) for p in self.parts) > FOLD:
+        self.new += len(v)
+        if self.new > FOLD:
             self.fold()
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
         v = np.concatenate([p[0] for p in self.parts] or [np.zeros(0, np.int64)])
         n = np.concatenate([p[1] for p in self.parts] or [np.zeros(0, np.int64)])
+        self.parts, self.new = [], 0
         order = np.argsort(v, kind="stable")
         v, n = v[order], n[order]
         at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, int)
@@ -211,14 +214,16 @@ class HashIndex:
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = keys
-        self.bits = max(4, int(len(keys) * 2).bit_length())
+        self.bits = max(4, (len(keys) * 4 // 3).bit_length())
         self.table = np.full(1 << self.bits, -1, np.int32)
-        slot, left = self.slots(keys), np.arange(len(keys), dtype=np.int32)
-        while len(left):
-            free = self.table[slot] < 0
-            self.table[slot[free]] = left[free]
-            lost = self.table[slot] != left
-            slot, left = (slot[lost] + 1) & (len(self.table) - 1), left[lost]
+        for i in range(0, len(keys), 1 << 20):
+            left = np.arange(i, min(i + (1 << 20), len(keys)), dtype=np.int32)
+            slot = self.slots(keys[left])
+            while len(left):
+                free = self.table[slot] < 0
+                self.table[slot[free]] = left[free]
+                lost = self.table[slot] != left
+                slot, left = (slot[lost] + 1) & (len(self.table) - 1), left[lost]
 
     @staticmethod
     def of(model: Model, name: str) -> HashIndex:
@@ -249,7 +254,9 @@ class Model:
     """What scoring looks up: code lengths of strings, counts of words, and the totals of the base."""
 
     def __init__(self, strings: np.ndarray, code: np.ndarray, words: np.ndarray, count: np.ndarray, ends: int, tokens: int, distinct: int, depth: int) -> None:
-        self.strings, self.code, self.words, self.count = strings, code, words, count
+        self.strings, self.code, self.words = strings, code, words
+        # The last one, at -1, is for words that aren't there.
+        self.logs = np.append(np.log10(count + 1.0), 0.0)
         self.ends, self.tokens, self.distinct, self.depth = ends, tokens, distinct, depth
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -258,7 +265,6 @@ class Model:
         n = len(texts)
         out = {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n)}
         bottom = np.log10(float(self.tokens + self.distinct + 1))
-        count = np.append(self.count, 0)
         for a, b in chunks(texts, CHUNK_BYTES):
             keys, size = strings_of(texts[a:b], self.depth)
             at = strings.find(keys)
@@ -267,11 +273,11 @@ class Model:
             begin = np.cumsum(size) - size
             out["score"][a:b] = np.add.reduceat(self.code[at].astype(np.float64), begin)
             keys, size = words_of(texts[a:b])
-            c = count[words.find(keys)]
+            at = words.find(keys)
             of = np.repeat(np.arange(b - a), size)
             out["n_tokens"][a:b] = size + 1
-            out["n_known"][a:b] = np.bincount(of, weights=c > 0, minlength=b - a).astype(np.int64) + (self.ends > 0)
-            out["base_score"][a:b] = np.bincount(of, weights=np.log10(c + 1.0), minlength=b - a) + np.log10(self.ends + 1.0) - (size + 1) * bottom
+            out["n_known"][a:b] = np.bincount(of, weights=at >= 0, minlength=b - a).astype(np.int64) + (self.ends > 0)
+            out["base_score"][a:b] = np.bincount(of, weights=self.logs[at], minlength=b - a) + np.log10(self.ends + 1.0) - (size + 1) * bottom
         return out
 
 
@@ -285,6 +291,30 @@ def _rows(columns: dict[str, np.ndarray], size: int = 1 << 16) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(v[i : i + size]) for v in columns.values()], names=list(columns))
 
 
+class Stored:
+    """A model as tables in the shared folder. A worker reads it once, when it first scores."""
+
+    def __init__(self, strings: str, words: str, *totals: int) -> None:
+        self.strings, self.words, self.totals = strings, words, totals
+
+    def model(self) -> Model:
+        if not hasattr(self, "_model"):
+            self._model = Model(*self.columns(self.strings, "value", "code"), *self.columns(self.words, "value", "n"), *self.totals)
+        return self._model
+
+    @staticmethod
+    def columns(folder: str, *names: str) -> list[np.ndarray]:
+        """Columns of a Parquet table; a folder that isn't there is an empty one."""
+        import pyarrow.dataset
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        if store.get_file_info(root).type == fs.FileType.NotFound:
+            return [np.zeros(0, np.int64) for _ in names]
+        got = pyarrow.dataset.dataset(root, filesystem=store, format="parquet").to_table(columns=list(names))
+        return [c.to_numpy() for c in got.columns]
+
+
 def tallies(docs: DataFrame, depth: int) -> DataFrame:
     """docs (_t, _held): (kind, value, n): strings (0), words (1) and the number of texts (2) of the training rows; strings of held-out rows have n = 0."""
 
@@ -306,7 +336,14 @@ def tallies(docs: DataFrame, depth: int) -> DataFrame:
         yield from _rows({"kind": np.array([2], np.int8), "value": np.array([0]), "n": np.array([ends])})
 
     rows = docs.mapInArrow(run, "kind tinyint, value bigint, n bigint")
-    return materialize(rows.groupBy("kind", "value").agg(F.sum("n").alias("n")), "tallies")
+    # Tasks have summed already; a partial sum before the shuffle would find nothing.
+    spark = docs.sparkSession
+    dealt = rows.repartition(shuffle_partitions(spark), "kind", "value")
+    path = scratch_path(spark, "tallies")
+    dealt.groupBy("kind", "value").agg(F.sum("n").alias("n")).write.partitionBy("kind").parquet(path)
+    out = spark.read.schema("value bigint, n bigint, kind tinyint").parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +357,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def code_lengths(strings: DataFrame, depth: int) -> DataFrame:
-    """strings (value, n): (value, code), the log10 of each string's last byte after its context."""
+    """strings (value, n): (value, code), the log10 of each string's last byte after its context, in single precision."""
     spark = strings.sparkSession
     near = F.shiftright("value", 8 * (depth - 1))
     dealt = strings.select("value", "n").repartition(shuffle_partitions(spark), near)
@@ -338,9 +375,9 @@ def code_lengths(strings: DataFrame, depth: int) -> DataFrame:
     def downward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, n = _whole(batches)
         if len(value):
-            yield from _rows({"value": value, "code": log10_of(value, n, depth, first, root)})
+            yield from _rows({"value": value, "code": log10_of(value, n, depth, first, root).astype(np.float32)})
 
-    return materialize(dealt.mapInArrow(downward, "value bigint, code double"), "codes")
+    return materialize(dealt.mapInArrow(downward, "value bigint, code float"), "codes")
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, fold: tuple[int, int] = (7, 2), id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -372,12 +409,12 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, fold: tuple[int, int] = (7,
         return type(batch).from_arrays(arrays, names=["_id", "_held", "_n", *columns])
 
     if max(n_words, codes.count()) <= broadcast_rows:
-        strings, counts = codes.toArrow(), words.toArrow()
-        shared = spark.sparkContext.broadcast(Model(strings.column("value").to_numpy(), strings.column("code").to_numpy().astype(np.float32), counts.column("value").to_numpy(), counts.column("n").to_numpy(), ends, tokens, distinct, depth))
+        # Totals and paths only; the tables are read where they are needed.
+        shared = spark.sparkContext.broadcast(Stored(codes.scratch_path, f"{tally.scratch_path}/kind=1", ends, tokens, distinct, depth))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield scored(shared.value, batch)
+                yield scored(shared.value.model(), batch)
 
         out = rows.mapInArrow(run, schema)
     else:
@@ -402,7 +439,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, fold: tuple[int, int] = (7,
         def met(texts: pa.Table, found: pa.Table) -> pa.Table:
             part = {k: found.filter(pa.compute.equal(found.column("kind"), k)) for k in (0, 1)}
             value, x = ([part[k].column(c).to_numpy() for k in (0, 1)] for c in ("value", "x"))
-            return scored(Model(value[0], x[0].astype(np.float32), value[1], x[1].astype(np.int64), ends, tokens, distinct, depth), texts)
+            return scored(Model(value[0], x[0].astype(np.float32), value[1], x[1], ends, tokens, distinct, depth), texts)
 
         out = dealt.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(met, schema)
     bits = -F.col("score") * float(np.log2(10)) / (F.col("_n") + 1)
