@@ -2,7 +2,9 @@
 
 A variable per element says whether its own text is main text. Node potentials
 are log-linear in the element's name, its class, id and role words, and its text
-and link sizes; an edge potential couples each element with its parent. The DOM
+and link sizes; an edge potential couples each element with its parent, one for
+elements that set themselves apart by name, one for others; those without text
+are free. The DOM
 is a tree, so sum-product messages up to the root and down again give exact
 marginals. Parameters are trained by gradient ascent on the likelihood of labelled
 pages, which takes the same messages. Text whose element is more likely content
@@ -45,12 +47,14 @@ WORDS = {w: kind for kind, words in NAMES.items() for w in words}
 TAGS = "#root html head body article main section div p span a b i em strong u small h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th blockquote pre code figure figcaption header footer nav aside form input button select option label textarea script style noscript title img br hr details summary dialog menu template iframe".split()
 KINDS = list(NAMES)
 SIZES = (1, 3, 10, 25, 60)
-FEATURES = ["bias", *(f"tag {t}" for t in [*TAGS, "other"]), *(f"name {k}" for k in KINDS), *(f"size {s}" for s in SIZES), "links", "own links", "head"]
+FEATURES = ["bias", *(f"tag {t}" for t in [*TAGS, "other"]), *(f"name {k}" for k in KINDS), *(f"size {s}" for s in SIZES), "links", "head", "page with holder", "below holder", "below other"]
+HOLDERS, OTHERS = frozenset(["article", "main"]), frozenset("aside dialog footer form head header menu nav".split())
+SECTIONS = frozenset("article aside body dialog footer form header main menu nav section".split())
 PLACE = {f: i for i, f in enumerate(FEATURES)}
 
 
-def features(page: Page) -> list[list[int]]:
-    """Indices into FEATURES, for each element."""
+def features(page: Page) -> tuple[list[list[int]], list[int]]:
+    """Of each element the indices into FEATURES, and the kind of its edge: 0 without text, 1 with a name of its own, 2 plain."""
     n = len(page.tag)
     own, total, linked = [0] * n, [0] * n, [0] * n
     for node, text in page.text:
@@ -63,9 +67,18 @@ def features(page: Page) -> list[list[int]]:
         if i:
             total[page.parent[i]] += total[i]
             linked[page.parent[i]] += linked[i]
-    out = []
+    out, kinds_of = [], []
+    # Below which kind of named element each one stands: 1 one that holds articles, 2 another; the nearest counts.
+    below, named = [0] * n, [0] * n
     for i in range(n):
         tag, words = page.tag[i], page.words[i]
+        said = {WORDS[w] for token in words.split() for w in (token, *token.replace("_", "-").split("-")) if w in WORDS} if words else ()
+        named[i] = 2 if tag in OTHERS or said and said != {"content"} else 1 if tag in HOLDERS or said else 0
+        below[i] = named[page.parent[i]] or below[page.parent[i]] if i else 0
+    holder = 1 in named
+    for i in range(n):
+        tag, words = page.tag[i], page.words[i]
+        kinds_of.append(0 if not total[i] else 1 if words or tag in SECTIONS else 2)
         on = [0, PLACE.get(f"tag {tag}", PLACE["tag other"])]
         if words:
             kinds = {WORDS[w] for token in words.split() for w in (token, *token.replace("_", "-").split("-")) if w in WORDS}
@@ -75,14 +88,18 @@ def features(page: Page) -> list[list[int]]:
             on.append(PLACE["links"])
         if tag in HEADINGS and total[i]:
             on.append(PLACE["head"])
+        if holder:
+            on.append(PLACE["page with holder"])
+        if below[i]:
+            on.append(PLACE["below holder" if below[i] == 1 else "below other"])
         out.append(on)
-    return out
+    return out, kinds_of
 
 
-def marginals(parent: list[int], score: list[float], edge: np.ndarray) -> tuple[list[float], list[list[float]]]:
-    """Of each element, the probability of being content; of each element and its parent, that of (0,0), (0,1), (1,0), (1,1), the parent first. score: the node potentials' log odds; edge[parent, own]: logs. Parents come before children."""
+def marginals(parent: list[int], score: list[float], edge: np.ndarray, kind: list[int]) -> tuple[list[float], list[list[float]]]:
+    """Of each element, the probability of being content; of each element and its parent, that of (0,0), (0,1), (1,0), (1,1), the parent first. score: the node potentials' log odds; edge[kind, parent, own]: logs. Parents come before children."""
     n = len(parent)
-    (e00, e01), (e10, e11) = np.exp(edge - edge.max()).tolist()
+    by_kind = [(a, b, c, d) for (a, b), (c, d) in np.exp(edge - edge.max(axis=(1, 2), keepdims=True)).tolist()]
     # Beliefs from below: of the two states, relative to their sum.
     up1, up0 = [0.0] * n, [0.0] * n
     for i in range(n):
@@ -91,6 +108,7 @@ def marginals(parent: list[int], score: list[float], edge: np.ndarray) -> tuple[
         up0[i] = 1.0 - p
     to0, to1 = [1.0] * n, [1.0] * n
     for i in range(n - 1, 0, -1):
+        e00, e01, e10, e11 = by_kind[kind[i]]
         a, b = up0[i], up1[i]
         m0, m1 = e00 * a + e01 * b, e10 * a + e11 * b
         s = m0 + m1
@@ -105,6 +123,7 @@ def marginals(parent: list[int], score: list[float], edge: np.ndarray) -> tuple[
     out[0] = up1[0]
     for i in range(1, n):
         j = parent[i]
+        e00, e01, e10, e11 = by_kind[kind[i]]
         # The parent's belief without this child.
         a, b = full0[j] / max(to0[i], 1e-300), full1[j] / max(to1[i], 1e-300)
         q = [a * e00 * up0[i], a * e01 * up1[i], b * e10 * up0[i], b * e11 * up1[i]]
@@ -138,6 +157,7 @@ def labelled_page(r: random.Random) -> tuple[Page, list[int]]:
                 lambda: f"<div{named('side')}><h2>{say(1, 4)}</h2><p>{say(4, 30)}</p></div>",
                 lambda: f"<div{named('notice')}><p>{say(4, 25)}</p><button>{say(1, 2)}</button></div>",
                 lambda: f"<form{name('notice')}><label>{say(1, 3)}</label><input name=q><button>{say(1, 2)}</button><p>{say(2, 9)}</p></form>",
+                lambda: f"<script>var a='{word()}';</script><style>p{{}}</style>",
                 lambda: f"<div{named('share')}><a>{say(1, 1)}</a> <a>{say(1, 1)}</a></div>",
             )
         )()
@@ -164,12 +184,14 @@ def labelled_page(r: random.Random) -> tuple[Page, list[int]]:
         )()
 
     blocks = [block() for _ in range(r.choice((0, 1, 2, 5, 9, 20, 50)))]
-    for _ in range(r.choice((0, 0, 0, 1, 2))):
+    for _ in range(r.choice((0, 0, 1, 2, 3))):
         blocks.insert(r.randint(0, len(blocks)), mark_first(boiler(), "x-not"))
     body = (f"<h1>{say(1, 12)}</h1>" if r.random() < 0.8 else "") + "".join(blocks)
     holder = r.choice(("article", "article", "article", "main", "div", "section"))
     mark = name("content") if holder != "div" else named("content")
     main = mark_first(f"<{holder}{mark}>{body}</{holder}>", "x-main")
+    if r.random() < 0.15:  # nothing holds the article together
+        main = "".join(mark_first(b, "x-main") if "x-not" not in b else b for b in [f"<h1>{say(1, 12)}</h1>", *blocks])
     before = "".join(boiler() for _ in range(r.randint(0, 3)))
     if r.random() < 0.5:
         before = f"<header{name('frame')}><a>{say(1, 2)}</a>{r.choice(('', f'<p>{say(1, 6)}</p>', f'<h1>{say(1, 3)}</h1>'))}</header>" + before
@@ -178,7 +200,7 @@ def labelled_page(r: random.Random) -> tuple[Page, list[int]]:
         after += f"<footer{name('frame')}>{r.choice((f'&copy; {say(2, 14)}', f'<p>{say(2, 25)}</p>', f'<ul>{links(1, 5)}</ul>', f'<div>{say(2, 9)} <a>{say(1, 2)}</a></div>'))}</footer>"
     middle = f"<div class='{r.choice(('page', 'wrap', 'container', 'row'))}'>{before}{main}{after}</div>" if r.random() < 0.4 else before + main + after
     head = f"<head><title>{say(1, 6)}</title><style>p{{margin:0}}</style><script>var x='{word()}';</script></head>" if r.random() < 0.8 else ""
-    source = f"<html>{head}<body>{middle}" + r.choice(("</body></html>", ""))
+    source = middle if r.random() < 0.2 else f"<html>{head}<body>{middle}" + r.choice(("</body></html>", ""))
     page = Page(source)
     label = [0] * len(page.tag)
     for i in range(1, len(page.tag)):
@@ -200,20 +222,21 @@ def model(pages: int = TRAIN_PAGES, rounds: int = ROUNDS, seed: int = 7) -> tupl
     data = []
     for _ in range(pages):
         page, label = labelled_page(r)
-        data.append((page.parent, features(page), np.array(label)))
-    weight, edge = np.zeros(len(FEATURES)), np.array([[0.5, -0.5], [-0.5, 0.5]])
-    wsum, esum = np.full(len(FEATURES), 1e-6), np.full((2, 2), 1e-6)
-    flat = [(parent, np.concatenate([np.array(o) for o in on]), np.repeat(np.arange(len(on)), [len(o) for o in on]), label) for parent, on, label in data]
+        data.append((page.parent, *features(page), np.array(label)))
+    weight, edge = np.zeros(len(FEATURES)), np.array([[[0.0, 0], [0, 0]], *[[[0.5, -0.5], [-0.5, 0.5]]] * 2])
+    wsum, esum = np.full(len(FEATURES), 1e-6), np.full(edge.shape, 1e-6)
+    flat = [(parent, np.concatenate([np.array(o) for o in on]), np.repeat(np.arange(len(on)), [len(o) for o in on]), kind, label) for parent, on, kind, label in data]
     for _ in range(rounds):
-        gw, ge, n = np.zeros(len(FEATURES)), np.zeros((2, 2)), 0
-        for parent, col, row, label in flat:
+        gw, ge, n = np.zeros(len(FEATURES)), np.zeros(edge.shape), 0
+        for parent, col, row, kind, label in flat:
             score = np.bincount(row, weights=weight[col], minlength=len(label))
-            prob, pairs = marginals(parent, score.tolist(), edge)
+            prob, pairs = marginals(parent, score.tolist(), edge, kind)
             gw += np.bincount(col, weights=(label - np.array(prob))[row], minlength=len(FEATURES))
             if len(label) > 1:
-                ge -= np.array(pairs[1:]).sum(axis=0).reshape(2, 2)
-                np.add.at(ge, (label[np.array(parent[1:])], label[1:]), 1)
+                np.add.at(ge, np.array(kind[1:]), -np.array(pairs[1:]).reshape(-1, 2, 2))
+                np.add.at(ge, (np.array(kind[1:]), label[np.array(parent[1:])], label[1:]), 1)
             n += len(label)
+        ge[0] = 0
         gw, ge = gw / n - DECAY * weight, ge / n - DECAY * edge
         wsum, esum = wsum + gw**2, esum + ge**2
         weight += RATE * gw / np.sqrt(wsum)
@@ -223,8 +246,8 @@ def model(pages: int = TRAIN_PAGES, rounds: int = ROUNDS, seed: int = 7) -> tupl
 
 def main_text(source: str, weight: list[float], edge: np.ndarray) -> str:
     page = Page(source)
-    score = [sum(weight[f] for f in on) for on in features(page)]
-    prob, _ = marginals(page.parent, score, edge)
+    on, kind = features(page)
+    prob, _ = marginals(page.parent, [sum(weight[f] for f in x) for x in on], edge, kind)
     out, parts = [], []
     for node, text in page.text:
         if text is None:
