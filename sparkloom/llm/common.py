@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +32,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(hadoop)
+    # With the store's name, so that Python on the executors finds the same place.
+    return re.sub("^file:/+", "file:///", store.makeQualified(hadoop).toString())
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -43,7 +48,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more, and lets Spark delete the shuffle files of finished steps."""
+    for df in tables:
+        delete_path(df.sparkSession, df.scratch_path)
+    gc.collect()  # plans that Python still holds keep their shuffle files
+    SparkSession.active().sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # files go in the background
 
 
 def bounded_arrow(spark: SparkSession, rows: int = 512) -> None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_arrow, materialize, shuffle_partitions
+from sparkloom.llm.common import bounded_arrow, discard, materialize, shuffle_partitions
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.rolling import BASE, gram_hashes, mixed
 
@@ -195,9 +195,9 @@ class Classes:
 def _joined(budget: int, top_of: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows: a bucket, the number of top bits that agree in it, and a rotated fingerprint with the turn that undoes it."""
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
+        if not (rows := list(batches)):
             return
+        got = pa.Table.from_batches(rows)
         kind, key, more, value = (got.column(c).to_numpy() for c in ("kind", "key", "more", "value"))
         value = value.view(np.uint64)
         order = np.lexsort((value, more, key, kind))
@@ -281,9 +281,9 @@ def similar_links(rows: DataFrame, budget: int, most: int) -> DataFrame:
     widths = cuts(64, budget + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
+        if not (rows := list(batches)):
             return
+        got = pa.Table.from_batches(rows)
         kind, key, value, node = (got.column(c).to_numpy() for c in ("kind", "key", "value", "_k"))
         value = value.view(np.uint64)
         order = np.lexsort((node, value, key, kind))
@@ -324,19 +324,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     """
     spark = docs.sparkSession
     bounded_arrow(spark)
-    clean = spark.sparkContext._jvm.System.gc  # so that Spark deletes the shuffle files of finished steps
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_k", row_key("_id", "_t"))
     rows = materialize(sketches(keyed.select("_k", "_t"), shingle, tables), "sketches")
     pairs = materialize(similar_links(rows, budget, similar_bits(512, similarity)).where("u <> v").distinct(), "pairs")
-    clean()
+    discard(rows)
     some = pairs.select(F.explode(F.array("u", "v")).alias("_k")).distinct()
     sets = materialize(shingle_sets(keyed.select("_k", "_t").join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
-    clean()
+    discard()
     both = pairs.join(sets.select(F.col("_k").alias("u"), F.col("_s").alias("a")), "u").join(sets.select(F.col("_k").alias("v"), F.col("_s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     links = both.where((F.size("a") + F.size("b") == 0) | (common >= similarity * (F.size("a") + F.size("b") - common))).select("u", "v")
     roots = connected_components(links)
-    clean()
+    discard(pairs, sets)
     members = materialize(keyed.select("_k", "_id").join(roots.withColumnRenamed("u", "_u"), F.col("_k") == F.col("_u")).select("_k", "_id", "root"), "members")
     order = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_k").alias("k"))
     least = members.groupBy(F.col("root").alias("_r")).agg(F.min(order).alias("m"))

@@ -357,8 +357,9 @@ def score_toxicity(
         net = train([r["_t"].encode() for r in got], np.array([min(1, max(0, r["_y"])) for r in got], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
-    # One task, also for no rows at all; the parameters are some 2 MB.
-    net = pickle.loads(rows.coalesce(1).mapInArrow(fit, "net binary").collect()[0][0])
+    # One task, or none for no rows; the parameters are some 2 MB.
+    got = rows.coalesce(1).mapInArrow(fit, "net binary").collect()
+    net = pickle.loads(got[0][0]) if got else train([], np.zeros(0, np.int64))
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
