@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_arrow, delete_path, materialize, scratch_path, shuffle_partitions
+from sparkloom.llm.common import bounded_arrow, delete_path, discard, materialize, scratch_path, shuffle_partitions
 from sparkloom.llm.rolling import mixed, prefix_hashes, span_hashes, window_min
 
-LENGTH, REACH, GRAM = 400, 160, 16
+LENGTH, REACH, GRAM = 400, 112, 16
 #: Bytes of text hashed at once; a longer text goes in overlapping pieces.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: A table goes into the family in so many batches.
 BATCHES = 4
 #: An anchor's place takes the low bits of a position's rank, its hash the others.
@@ -135,6 +135,11 @@ class SuffixFamily:
         self.levels.append((size, path, level))
         return matched
 
+    def close(self) -> None:
+        """Deletes the levels."""
+        while self.levels:
+            delete_path(self.spark, self.levels.pop()[1])
+
 
 def merged_spans(places: DataFrame) -> DataFrame:
     """places (_k, start, end): (_k, spans), the maximal runs in order. A row holds one text's places."""
@@ -174,29 +179,32 @@ def window_rows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """docs (_k, _t): (_k, spans) of the texts that have any byte covered by a string of `length` bytes that also starts elsewhere."""
     spark = docs.sparkSession
-    clean = spark.sparkContext._jvm.System.gc  # so that Spark deletes the shuffle files of finished steps
     path = scratch_path(spark, "suffixes")
     suffix_entries(docs, length, reach, gram, batches).write.partitionBy("batch").parquet(path)
     entries = spark.read.schema("_k bigint, first bigint, count int, key bigint, run bigint, batch int").parquet(path)
-    family, found = SuffixFamily(spark), None
+    discard()
+    family, matched = SuffixFamily(spark), []
     for b in range(batches):
-        matched = family.add(entries.where(F.col("batch") == b).select("key"))
-        found = matched if found is None else found.union(matched)
-        clean()
+        matched.append(family.add(entries.where(F.col("batch") == b).select("key")))
+        discard()
+    family.close()
+    found = matched[0]
+    for m in matched[1:]:
+        found = found.union(m)
     hits = materialize(entries.select("_k", "first", "count", "key", "run").join(found.distinct(), "key", "left_semi"), "hits")
     delete_path(spark, path)
-    clean()
+    discard(*matched)
     # One row for each kind of run of a key, with the first that has it.
     kinds = materialize(hits.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "first", "count")).alias("one")), "kinds")
     whole = hits.join(kinds.where("n > 1").select("key", "run"), ["key", "run"], "left_semi").select("_k", F.col("first").alias("start"), (F.col("first") + F.col("count") + (length - 1)).alias("end"))
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("key")
     wanted = kinds.join(several, "key", "left_semi").select("one.*")
     windows = materialize(window_rows(docs, wanted, length), "windows")
-    clean()
+    discard()
     again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     single = windows.join(again, "hash", "left_semi").select("_k", "start", (F.col("start") + length).alias("end"))
     out = materialize(merged_spans(whole.union(single)), "spans")
-    clean()
+    discard(hits, kinds, windows)
     return out
 
 
