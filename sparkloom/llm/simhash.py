@@ -349,8 +349,9 @@ def row_key(id_col: str, text_col: str):
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates() leaves, all columns."""
-    gone = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col).select(F.col("_k").alias("_gone"))
-    return docs.join(gone, row_key(id_col, text_col) == F.col("_gone"), "left_anti")
+    name = "k" * (max(map(len, docs.columns)) + 1)  # longer than any of theirs
+    gone = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col).select(F.col("_k").alias(name))
+    return docs.join(gone, row_key(id_col, text_col) == F.col(name), "left_anti")
 
 
 def fingerprint_links(fps: DataFrame, budget: int) -> DataFrame:

@@ -334,6 +334,7 @@ def score_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    label_id_col: str = "doc_id",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of docs: the id, held_out, score, and the columns named in carry.
@@ -346,7 +347,7 @@ def score_toxicity(
     spark = docs.sparkSession
     bounded_arrow(spark)
     held = lambda c: F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit(""))), F.lit(fold_of[0])) == fold_of[1]
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_l"), F.col(label_col).cast("int").alias("_y")).where(~held(F.col("_l")))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).select(F.col(label_id_col).alias("_l"), F.col(label_col).cast("int").alias("_y")).where(~held(F.col("_l")))
     sample = known.groupBy("_l").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_l"), "_l").limit(train_docs)
     # At most train_docs labels are broadcast, and train_docs texts of train_bytes come to one task.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.octet_length("_t") <= train_bytes)

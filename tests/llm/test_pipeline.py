@@ -80,3 +80,16 @@ def test_stages_keep_the_columns(spark):
 def test_empty_documents(spark, tmp_path):
     written(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = ["score", "kept", "spans", "items", "_gone", "_k", "_id", "_t", "held_out", "n_words", "size", "taken", "sketch", "in_text"]
+    more = docs.withColumns({c: F.lit(c) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, DATA)
+        assert got.columns == more.columns
+        assert sorted(map(tuple, got.select(docs.columns).collect())) == sorted(map(tuple, stage(spark, docs, DATA).collect()))
+        assert got.select(*names).distinct().collect() == [tuple(names)]
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(str, last(spark, more, DATA).collect())) == sorted(map(str, last(spark, docs, DATA).collect()))
