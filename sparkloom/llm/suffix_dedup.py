@@ -191,9 +191,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, gr
     found = matched[0]
     for m in matched[1:]:
         found = found.union(m)
-    hits = materialize(entries.select("_k", "first", "count", "key", "run").join(found.distinct(), "key", "left_semi"), "hits")
+    # As a table of its own, so that Spark can split a key with very many suffixes.
+    keys = materialize(found.distinct(), "keys")
+    hits = materialize(entries.select("_k", "first", "count", "key", "run").join(keys, "key", "left_semi"), "hits")
     delete_path(spark, path)
-    discard(*matched)
+    discard(keys, *matched)
     # One row for each kind of run of a key, with the first that has it.
     kinds = materialize(hits.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "first", "count")).alias("one")), "kinds")
     whole = hits.join(kinds.where("n > 1").select("key", "run"), ["key", "run"], "left_semi").select("_k", F.col("first").alias("start"), (F.col("first") + F.col("count") + (length - 1)).alias("end"))
@@ -201,10 +203,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, gr
     wanted = kinds.join(several, "key", "left_semi").select("one.*")
     windows = materialize(window_rows(docs, wanted, length), "windows")
     discard()
-    again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    again = materialize(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "again")
+    discard()
     single = windows.join(again, "hash", "left_semi").select("_k", "start", (F.col("start") + length).alias("end"))
     out = materialize(merged_spans(whole.union(single)), "spans")
-    discard(hits, kinds, windows)
+    discard(hits, kinds, windows, again)
     return out
 
 
