@@ -145,3 +145,29 @@ def agg_sketches(spark: SparkSession, d: str) -> DataFrame:
         F.percentile_approx("l_quantity", [0.25, 0.5, 0.75]).alias("quartiles"),
         F.expr("approx_top_k(l_returnflag, 3)").alias("frequent"),
     )
+
+
+@query("agg_crosstab", "SELECT o_orderpriority AS priority, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority")
+def agg_crosstab(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").crosstab("o_orderpriority", "o_orderstatus").withColumnRenamed("o_orderpriority_o_orderstatus", "priority")
+
+
+@query("agg_approx_quantile")
+def agg_approx_quantile(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return spark.createDataFrame([(p, v) for p, v in zip((0.1, 0.5, 0.9), o.approxQuantile("o_totalprice", [0.1, 0.5, 0.9], 0.01))], "p double, value double")
+
+
+@query("agg_frequent_items")
+def agg_frequent_items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").freqItems(["l_returnflag", "l_linestatus"], 0.2)
+
+
+@query("agg_more_sketches")
+def agg_more_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches that merge: quantiles by KLL, sets by theta, frequencies by count-min."""
+    return table(spark, d, "lineitem").agg(
+        F.expr("kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(l_partkey), 0.5)").alias("median_part"),
+        F.expr("theta_sketch_estimate(theta_sketch_agg(l_suppkey))").alias("suppliers"),
+        F.expr("length(count_min_sketch(l_partkey, 0.01d, 0.9d, 7))").alias("bytes"),
+    )

@@ -54,6 +54,9 @@ sql_query("agg_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY
 sql_query("agg_pivot", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM {orders}) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
 sql_query("agg_unpivot", "SELECT p_partkey, k, v FROM (SELECT p_partkey, cast(p_size AS double) AS size, p_retailprice AS price FROM {part}) UNPIVOT (v FOR k IN (size, price))", "SELECT p_partkey, k, v FROM (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) UNPIVOT (v FOR k IN (size, price))")
 sql_query("agg_histogram_map", "SELECT o_orderstatus, array_join(transform(sort_array(map_entries(map_from_entries(collect_list(struct(o_orderpriority, n))))), e -> concat(e.key, ':', e.value)), ',') AS h FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ALL) GROUP BY o_orderstatus", "SELECT o_orderstatus, string_agg(o_orderpriority || ':' || n, ',' ORDER BY o_orderpriority) AS h FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderstatus")
+sql_query("agg_any_value", "SELECT n_regionkey, any_value(r) AS r, count(*) AS n FROM (SELECT n_regionkey, n_regionkey * 2 AS r FROM {nation}) GROUP BY n_regionkey")
+sql_query("agg_mode", "SELECT c_nationkey, mode() WITHIN GROUP (ORDER BY c_mktsegment) AS m FROM {customer} GROUP BY c_nationkey", "SELECT c_nationkey, arg_min(c_mktsegment, (-n, c_mktsegment)) AS m FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY c_nationkey")
+sql_query("agg_collect_set", "SELECT l_returnflag, array_join(sort_array(collect_set(l_linestatus)), ',') AS s FROM {lineitem} GROUP BY l_returnflag", "SELECT l_returnflag, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS s FROM lineitem GROUP BY l_returnflag")
 
 # Windows.
 sql_query("window_ranks", "SELECT o_orderkey, cast(rank() OVER w AS int) AS r, cast(dense_rank() OVER w AS int) AS d, cast(ntile(4) OVER w AS int) AS t, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c FROM {orders} WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)")

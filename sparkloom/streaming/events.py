@@ -12,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkloom.plans.registry import query, table
@@ -109,3 +110,54 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
 
     got = stream(spark, d).select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, top double", "n bigint, top double", "update", GroupStateTimeout.NoTimeout)
     return finished(got, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
+
+
+@query("stream_update", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_update(spark: SparkSession, d: str) -> DataFrame:
+    """Update mode writes a window each time it changes; the largest count is the last."""
+    got = ends(finished(windowed(stream(spark, d), F.window("ts", "1 day")), "update"))
+    return got.groupBy("start", "event_type").agg(F.max("n").alias("n"))
+
+
+@query("stream_dedup_watermark", "SELECT count(DISTINCT event_id) AS n FROM events")
+def stream_dedup_watermark(spark: SparkSession, d: str) -> DataFrame:
+    """Each event twice; state for a key is dropped once the watermark has passed it."""
+    doubled = stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return finished(doubled.dropDuplicatesWithinWatermark(["event_id"]).select("event_id"), "append").agg(F.count("*").alias("n"))
+
+
+@query("stream_memory_sink", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_memory_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The memory sink holds its rows on the driver; here a row for each type of event."""
+    import uuid
+
+    name = f"events_{uuid.uuid4().hex}"
+    counts = stream(spark, d).groupBy("event_type").agg(F.count("*").alias("n"))
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+@query("stream_processor", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def stream_processor(spark: SparkSession, d: str) -> DataFrame:
+    """A stateful processor with named state, kept in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = stream(spark, d).select("user_id", "value").groupBy("user_id").transformWithStateInPandas(Counter(), "user_id bigint, n bigint", "update", "none")
+        return finished(got, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+class Counter(StatefulProcessor):
+    """Rows seen by key."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n = (self.seen.get()[0] if self.seen.exists() else 0) + sum(len(r) for r in rows)
+        self.seen.update((n,))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+    def close(self) -> None:
+        pass

@@ -76,3 +76,15 @@ def test_late_rows(spark, tmp_path):
     # 00:10 comes in the batch after the watermark has moved to 01:30, and 00:15 after it has moved to 05:30.
     got = dict(map(tuple, finished(counts, "append").collect()))
     assert got[2] == 1 and got[1] == 1 and got[5] == 1 and got[6] == 1 and got.get(0, 0) <= 1
+
+
+def test_streams_reject_what_they_cannot_keep(spark):
+    from pyspark.errors import AnalysisException
+    from sparkloom.streaming.events import stream
+
+    raw = spark.readStream.schema(table(spark, DATA, "events").schema).parquet(f"{DATA}/events.parque[t]")
+    for df, mode in ((stream(spark, DATA).orderBy("ts"), "append"), (raw.groupBy("event_type").count(), "append"), (stream(spark, DATA), "complete")):
+        with pytest.raises(AnalysisException):
+            finished(df, mode)
+    with pytest.raises(AnalysisException):
+        raw.withWatermark("ts", "1 hour").groupBy("ts").count()
