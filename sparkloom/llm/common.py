@@ -62,9 +62,10 @@ def discard(*tables: DataFrame) -> None:
     time.sleep(0.3)  # files go in the background
 
 
-def bounded_arrow(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, for texts may be very long."""
+def bounded_arrow(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Arrow batches of few rows and bytes (or of one row), for texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -52,7 +52,8 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = max(HOT_ROWS, docs.select().count() // HOT_KEYS + 1)
     # At most HOT_KEYS values, for each stands for one in HOT_KEYS of the rows.
     hot = [r[0] for r in keyed.groupBy("_h").count().where(F.col("count") >= least).select("_h").collect()]
-    salt = F.pmod(F.xxhash64("_id") + F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    # By id, and by place for rows that repeat one; each small before they add up, for sums that overflow are errors.
+    salt = F.pmod(F.pmod(F.xxhash64("_id"), F.lit(SALTS)) + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)), F.lit(SALTS)).cast("int")
     salted = keyed.withColumn("_s", F.when(F.col("_h").isin(hot), salt).otherwise(F.lit(0)) if hot else F.lit(0))
     ranged = salted.repartitionByRange(shuffle_partitions(spark), "_p", "_h", "_s")
 

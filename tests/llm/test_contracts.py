@@ -57,3 +57,21 @@ def test_scratch_tables(spark, tmp_path, monkeypatch):
 def test_native_plans(spark, op):
     plan = queries.QUERIES[named(op)[0]](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_batches_are_bounded(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    common.bounded_arrow(spark, rows=100, size=1 << 20)
+    try:
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+        long = spark.range(0, 50, 1, 1).select(F.repeat(F.lit("x"), 200_000))
+        assert max(r["bytes"] for r in long.mapInArrow(sizes, "n bigint, bytes bigint").collect()) < 2 << 20
+        assert max(r["n"] for r in spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n bigint, bytes bigint").collect()) == 100
+    finally:
+        common.bounded_arrow(spark)
