@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,21 @@ def discard(*tables: DataFrame) -> None:
     time.sleep(0.3)  # files go in the background
 
 
+class Shared:
+    """An object broadcast by value, with its class, so that executors need no copy of this package; made once in a worker."""
+
+    def __init__(self, spark: SparkSession, thing: object) -> None:
+        self.broadcast = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    @property
+    def value(self):
+        held = self.broadcast
+        if not hasattr(held, "_thing"):
+            held._thing = cloudpickle.loads(held.value)
+            held.__dict__.pop("_value", None)  # the bytes have served
+        return held._thing
+
+
 def bounded_arrow(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
     """Arrow batches of few rows and bytes (or of one row), for texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

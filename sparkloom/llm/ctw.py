@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_arrow, materialize, scratch_path, shuffle_partitions
+from sparkloom.llm.common import Shared, bounded_arrow, materialize, scratch_path, shuffle_partitions
 from sparkloom.llm.decontaminate import chunks
 from sparkloom.llm.rolling import BASE, prefix_hashes, runs, span_hashes
 
@@ -410,7 +410,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, fold: tuple[int, int] = (7,
 
     if max(n_words, codes.count()) <= broadcast_rows:
         # Totals and paths only; the tables are read where they are needed.
-        shared = spark.sparkContext.broadcast(Stored(codes.scratch_path, f"{tally.scratch_path}/kind=1", ends, tokens, distinct, depth))
+        shared = Shared(spark, Stored(codes.scratch_path, f"{tally.scratch_path}/kind=1", ends, tokens, distinct, depth))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

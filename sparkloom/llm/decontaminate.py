@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_arrow
+from sparkloom.llm.common import Shared, bounded_arrow
 from sparkloom.llm.rolling import gram_hashes, prefix_hashes, runs, span_hashes, window_min
 
 SPAN, GRAM = 10, 5
@@ -155,13 +155,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     passes = []
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        block = spark.sparkContext.broadcast(Block([r["i"] for r in rows], [r["t"].encode() for r in rows], span, gram))
+        block = Shared(spark, Block([r["i"] for r in rows], [r["t"].encode() for r in rows], span, gram))
         passes.append(scan_of.mapInArrow(_scan(block, True, tuple(others)), full) if blocks == 1 else scan_of.mapInArrow(_scan(block, False), schema))
     if blocks == 1:
         out = passes[0]
     else:
         # Rows of the same id and text have the same hits.
-        none = spark.sparkContext.broadcast(Block([], [], span, gram))
+        none = Shared(spark, Block([], [], span, gram))
         every = scan_of.mapInArrow(_scan(none, True, tuple(others)), full).drop("spans", "items")
         found = passes[0]
         for p in passes[1:]:

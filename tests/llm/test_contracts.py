@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from conftest import DATA
 from sparkloom.llm import common, queries
@@ -75,3 +80,18 @@ def test_batches_are_bounded(spark):
         assert max(r["n"] for r in spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n bigint, bytes bigint").collect()) == 100
     finally:
         common.bounded_arrow(spark)
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """The driver finds the package by its own path only, and workers start in another folder."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+from sparkloom.llm import queries
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("op1_ctw", "op2_decontaminate", "op9_simhash", "op7_warc"):
+    assert queries.QUERIES[name](spark, {DATA!r}).count() in (50, 200)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)

@@ -102,3 +102,14 @@ def test_sketches_tell_similarity():
     assert simhash.similar_bits(512, 1.0) == 0
     assert 77 <= simhash.similar_bits(512, 0.8, 0) <= 78
     assert np.all(simhash.BITS.sum(axis=1) == [bin(b).count("1") for b in range(256)])
+
+
+def test_null_ids_and_empty_tables(spark):
+    schema = "doc_id bigint, text string, _low string, component_id int"
+    rows = [(None, "a b c d", "x", 1), (5, "a b c d", "x", 1), (7, "A b  c d", "x", 1), (None, "p q r s t u", "x", 1), (None, None, "x", 1), (None, "", "x", 1)]
+    got = simhash.simhash_components(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["fingerprint"] == "0" * 16) for r in got) == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 5, False), (5, 5, False), (7, 5, False)]
+    assert simhash.simhash_components(spark.createDataFrame([], schema)).collect() == []
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    # The row without an id goes for the one with the smallest; of those that have none, one key stays.
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:1]) for r in kept) in ([(0, ""), (0, "p"), (5, "a")], [(0, ""), (0, ""), (0, "p"), (5, "a")])
