@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Shared, bounded_arrow, materialize, scratch_path, shuffle_partitions
 from sparkloom.llm.decontaminate import chunks
-from sparkloom.llm.rolling import BASE, prefix_hashes, runs, span_hashes
+from sparkloom.llm.rolling import BASE, runs, word_hashes
 
 DEPTH = 6
 END = 255
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Strings, and words, that every worker holds (12 to 16 bytes each, and 4 to 11 for the index); and, beyond, bytes of text in a block.
 BROADCAST_ROWS, BLOCK_BYTES = 8_000_000, 32 << 20
 #: New entries that a task holds before it folds them into its sums.
-FOLD = 1_500_000
+FOLD = 800_000
 LOG_HALF = np.log(0.5)
 SPACE_BYTE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
@@ -71,7 +71,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = runs(~SPACE_BYTE[buf])
     ends = np.cumsum([len(t) + 1 for t in texts])
     count = np.diff(np.concatenate(([0], np.searchsorted(start, ends))))
-    return (span_hashes(prefix_hashes(buf), start, end) if len(start) else np.zeros(0, np.uint64)).view(np.int64), count
+    return word_hashes(buf, start, end).view(np.int64), count
 
 
 def tallied(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
