@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Shared, bounded_arrow
-from sparkloom.llm.rolling import gram_hashes, prefix_hashes, runs, span_hashes, window_min
+from sparkloom.llm.rolling import gram_hashes, runs, window_min, word_hashes
 
 SPAN, GRAM = 10, 5
 #: Bytes of item texts that one broadcast holds, and bytes of documents hashed at once.
@@ -35,7 +35,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\0".join(texts).lower()
     buf = np.frombuffer(joined, np.uint8)
     start, end = runs(WORD_BYTE[buf])
-    hashes = span_hashes(prefix_hashes(buf), start, end) if len(start) else np.zeros(0, np.uint64)
+    hashes = word_hashes(buf, start, end)
     ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, int)
     return hashes, np.concatenate(([0], np.searchsorted(start, ends)))
 

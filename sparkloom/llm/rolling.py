@@ -38,6 +38,18 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return mixed((prefix[end] - prefix[start]) * down[start])
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """span_hashes of strings in order that don't overlap, with prefix hashes of a piece of buf at a time."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(int(np.searchsorted(start, start[i] + piece)), i + 1)
+        at = start[i]
+        out[i:j] = span_hashes(prefix_hashes(buf[at : end[j - 1]]), start[i:j] - at, end[i:j] - at)
+        i = j
+    return out
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k successive values."""
     n = len(words) - k + 1

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_arrow
 from sparkloom.llm.decontaminate import WORD_BYTE, chunks
-from sparkloom.llm.rolling import BASE, mixed, prefix_hashes, runs, span_hashes
+from sparkloom.llm.rolling import BASE, mixed, runs, word_hashes
 
 TRAIN_DOCS, TRAIN_BYTES = 4000, 16 << 10
 WINDOW, STRIDE = 32, 24
@@ -46,7 +46,7 @@ class Words:
         start, end = runs(WORD_BYTE[buf])
         ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, int)
         self.first = np.concatenate(([0], np.searchsorted(start, ends)))
-        hashes = span_hashes(prefix_hashes(buf), start, end) if len(start) else np.zeros(0, np.uint64)
+        hashes = word_hashes(buf, start, end)
         distinct, at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
         self.row = (distinct % np.uint64(BUCKETS)).astype(np.int64)
         # The distinct words in a row, each between borders.
