@@ -14,6 +14,9 @@ so a cluster of n fingerprints gives n links at most, not n squared, and
 components over all blocks come from a distributed star algorithm. A block value
 that very many fingerprints share is cut once more by the same argument, on the
 remaining bits.
+
+The pipeline's stage links texts by the Jaccard similarity of their shingles
+instead: min-hashes give candidates, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -35,6 +38,14 @@ HOT_ROWS, HOT_KEYS = 20_000, 1000
 PAIRS = 100_000
 #: The hash's seed, which is that of Spark's xxhash64().
 SEED = 42
+#: Near-duplicates of texts meet if all ROWS min-hashes of one of BANDS bands are equal: at a similarity of 0.8, all but 1 in 7 million pairs.
+BANDS, ROWS = 30, 4
+#: Standard deviations by which the share of equal min-hashes may fall short of the similarity.
+SLACK = 5.5
+#: Partners that a row is tested with in the first round over open buckets, and how many times more in each further one.
+FIRST, FURTHER = 16, 16
+#: Rows of a part of a bucket; a task compares two parts at a time.
+CELL = 1024
 BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
 
@@ -108,7 +119,7 @@ class Forest:
             np.minimum.at(self.parent, a, b)
 
 
-def trie_links(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget: int, forest: Forest | Classes) -> None:
+def trie_links(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: int, budget: int, forest: Forest) -> None:
     """Links all places of values (sorted, distinct within a range) that differ in at most `budget` bits and stand in one range. Each range agrees on all bits from `top` on."""
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
@@ -143,55 +154,6 @@ def cuts(bits: int, parts: int) -> list[int]:
     return [bits // parts + (i < bits % parts) for i in range(parts)]
 
 
-class Classes:
-    """Values that may stand several times, each time with a longer fingerprint that has the last word on a link."""
-
-    def __init__(self, start: np.ndarray, end: np.ndarray, sketch: np.ndarray, most: int, forest: Forest) -> None:
-        """start and end: the rows of each value; most: differing bits of sketches that link."""
-        self.sketch, self.most, self.forest = sketch, most, forest
-        self.first = start
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
-        self.more: dict[int, np.ndarray] = {}
-        for c in np.flatnonzero(end - start > 1):
-            # Each leader is compared with all rows of the class, and what it doesn't reach has the next leader.
-            rows, open_, got = np.arange(start[c], end[c]), np.ones(end[c] - start[c], bool), []
-            while open_.any():
-                lead = rows[np.argmax(open_)]
-                near = self.near(np.full(len(rows), lead), rows)
-                self.join(np.full(near.sum(), lead), rows[near])
-                got.append(lead)
-                open_ &= ~near
-                open_[lead - start[c]] = False
-            if len(got) > 1:
-                self.more[int(c)] = np.array(got)
-
-    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(axis=1, dtype=np.int64) <= self.most
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """a, b: values that differ in few bits."""
-        if self.more:
-            many = np.array([int(x) in self.more or int(y) in self.more for x, y in zip(a, b)], bool)
-            for x, y in zip(a[many].tolist(), b[many].tolist()):
-                u, v = (self.more.get(z, self.first[z : z + 1]) for z in (x, y))
-                self.pairs(np.repeat(u, len(v)), np.tile(v, len(u)))
-            a, b = a[~many], b[~many]
-        self.pairs(self.first[a], self.first[b])
-
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
-        ok = self.near(a, b)
-        self.join(a[ok], b[ok])
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Notes the pairs that aren't connected yet, a few at a time, and connects them."""
-        for i in range(0, len(a), 2048):
-            x, y = a[i : i + 2048], b[i : i + 2048]
-            apart = self.forest.find(x) != self.forest.find(y)
-            if apart.any():
-                self.found.append((x[apart], y[apart]))
-                self.forest.link(x[apart], y[apart])
-
-
 def _joined(budget: int, top_of: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows: a bucket, the number of top bits that agree in it, and a rotated fingerprint with the turn that undoes it."""
@@ -224,34 +186,45 @@ def similar_bits(bits: int, similarity: float, slack: float = 1.5) -> int:
     return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
 
 
-def sketches(docs: DataFrame, shingle: int, tables: int) -> DataFrame:
-    """docs (_k, _t): (_k, fps, sketch). fps: SimHashes of the set of words, one for each table; sketch: a SimHash of 512 bits of the set of word shingles, or of the whole sequence if that is shorter, as binary."""
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs (_k, _t): (_k, bands, sketch), of the set of word shingles (of the whole sequence, if that is shorter).
+
+    The set's smallest values under BANDS * ROWS hash functions are equal for two
+    sets with a chance of their Jaccard similarity each, whatever the edits. bands:
+    hashes of ROWS of them each; sketch: a byte of each, as binary.
+    """
     from sparkloom.llm.ctw import words_of
     from sparkloom.llm.decontaminate import chunks
 
-    def bits_of(hashes: np.ndarray, longs: int) -> np.ndarray:
-        ones, salt = np.zeros(64 * longs, np.int64), np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(BASE)
-        for i in range(0, len(hashes), 4096):
-            ones += np.unpackbits(mixed(hashes[i : i + 4096, None] ^ mixed(salt)).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-        return np.packbits(ones * 2 > len(hashes)).view(np.int64)
+    bands, each = BANDS, ROWS
+    odd = mixed(np.arange(1, bands * each + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("_t").to_pylist()]
-            fps, long = [], []
+            low = np.full((len(texts), bands * each), np.uint64(0xFFFFFFFFFFFFFFFF))
+            at = 0
             for a, b in chunks(texts, 2 << 20):
                 words, size = words_of(texts[a:b])
                 words = words.view(np.uint64)
                 grams = gram_hashes(words, shingle)
                 end = np.cumsum(size)
                 for e, n in zip(end.tolist(), size.tolist()):
-                    own = words[e - n : e]
-                    pieces = np.unique(grams[e - n : e - shingle + 1]) if n >= shingle else gram_hashes(own, n) if n else own
-                    fps.append(bits_of(np.unique(own), tables).tolist())
-                    long.append(bits_of(pieces, 8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(fps, pa.list_(pa.int64())), pa.array(long, pa.binary())], names=["_k", "fps", "sketch"])
-
-    return docs.mapInArrow(run, "_k bigint, fps array<bigint>, sketch binary")
+                    if n:
+                        pieces = np.unique(grams[e - n : e - shingle + 1]) if n >= shingle else gram_hashes(words[e - n : e], n)
+                        for i in range(0, len(pieces), 256):
+                            np.minimum(low[at], (pieces[i : i + 256, None] * odd).min(axis=0), out=low[at])
+                    at += 1
+            keys = np.zeros((len(texts), bands), np.uint64) + number
+            for j in range(each):
+                keys = mixed(keys * np.uint64(BASE) + low[:, j::each])
+            sketch = (low >> np.uint64(56)).astype(np.uint8)
+            flat = pa.array(keys.view(np.int64).ravel(), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(texts) + 1, bands), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["_k", "bands", "sketch"])
+
+    return docs.mapInArrow(run, "_k bigint, bands array<bigint>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -269,73 +242,133 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "_k bigint, _s array<bigint>")
 
 
-def similar_links(rows: DataFrame, budget: int, most: int) -> DataFrame:
-    """rows (_k, fps, sketch): links (u, v) of rows of which two fingerprints of one table differ in at most `budget` bits and the sketches in at most `most`.
+def near_sketches(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
+    """The pairs (u, v) whose sketches agree in `least` bytes or more; rows (_k, sketch)."""
 
-    As in fingerprint_links(), by table and block. Rows with the same fingerprint
-    are linked to the first of them that they are similar to, and only such firsts
-    meet other fingerprints; pairs that others connect already are left out. So n
-    copies make no n squared pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a", "b"))
+            ok = pa.array((a == b).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("u", "v")], names=["u", "v"])
+
+    one = rows.select(F.col("_k").alias("u"), F.col("sketch").alias("a"))
+    two = rows.select(F.col("_k").alias("v"), F.col("sketch").alias("b"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, least: int, most: int) -> DataFrame:
+    """buckets (key, _k): (u, v, more) for the pairs of a bucket in different components whose sketches agree in `least` bytes or more.
+
+    Each row has its `most` closest such partners of a cell; more tells that it has
+    others. A bucket with rows of one component only comes to no task, and a large
+    one is dealt into cells of two of its parts each, so that each pair has a cell.
     """
-    spark = rows.sparkSession
-    widths = cuts(64, budget + 1)
+    spark, cell = buckets.sparkSession, CELL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (rows := list(batches)):
+        if not (got := list(batches)):
             return
-        got = pa.Table.from_batches(rows)
-        kind, key, value, node = (got.column(c).to_numpy() for c in ("kind", "key", "value", "_k"))
-        value = value.view(np.uint64)
-        order = np.lexsort((node, value, key, kind))
-        kind, key, value, node = kind[order], key[order], value[order], node[order]
-        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint64).reshape(len(order), -1)[order]
-        bucket = np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])))
-        own = np.flatnonzero(bucket | np.concatenate(([True], value[1:] != value[:-1])))
-        forest = Forest(len(value))
-        classes = Classes(own, np.concatenate((own[1:], [len(value)])), sketch, most, forest)
-        new = np.flatnonzero(bucket[own])
-        end = np.concatenate((new[1:], [len(own)]))
-        width = np.array(widths)[kind[own[new]] % 64]
-        for w in np.unique(width):
-            trie_links(value[own], new[width == w], end[width == w], 64 - int(w), budget, classes)
-        u, v = (np.concatenate([f[i] for f in classes.found] or [np.zeros(0, int)]) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[u], node[v])), pa.array(np.minimum(node[u], node[v]))], names=["u", "v"])
-
-    each = rows.select("_k", "sketch", F.posexplode("fps").alias("table", "fp"))
-    turned, at = [], 0
-    for i, w in enumerate(widths):
-        rot = F.col("fp") if not at else F.shiftleft("fp", at).bitwiseOR(F.shiftrightunsigned("fp", 64 - at))
-        turned.append(F.struct((F.col("table") * 64 + i).alias("kind"), F.shiftrightunsigned(rot, 64 - w).alias("key"), rot.alias("value")))
-        at += w
-    spread = each.select("_k", "sketch", F.explode(F.array(*turned)).alias("x")).select("x.*", "_k", "sketch").repartition(shuffle_partitions(spark), "kind", "key")
-    return spread.mapInArrow(run, "u bigint, v bigint")
+        got = pa.Table.from_batches(got)
+        key, i, j, own, node, root = (got.column(c).to_numpy() for c in ("key", "i", "j", "own", "_k", "root"))
+        order = np.lexsort((node, j, i, key))
+        key, i, j, own, node, root = (x[order] for x in (key, i, j, own, node, root))
+        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint8).reshape(len(order), -1)[order]
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
+            names, which, count = np.unique(root[a:b], return_inverse=True, return_counts=True)
+            rest = a + np.flatnonzero(which != np.argmax(count))  # each pair has an end outside the largest component
+            step = max(1, (8 << 20) // ((b - a) * sketch.shape[1]))
+            for at in range(0, len(rest), step):
+                x = rest[at : at + step]
+                same = (sketch[x, None, :] == sketch[None, a:b, :]).sum(axis=2, dtype=np.int32)
+                ok = (same >= least) & (root[x, None] != root[None, a:b])
+                if i[a] != j[a]:
+                    ok &= own[x, None] != own[None, a:b]
+                over = ok.sum(axis=1) > most
+                for r in np.flatnonzero(over):
+                    some = np.flatnonzero(ok[r])
+                    ok[r] = False
+                    ok[r, some[np.argsort(-same[r, some], kind="stable")[:most]]] = True
+                p, q = np.nonzero(ok)
+                u, v = node[x[p]], node[a + q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(over[p])], names=["u", "v", "more"])
+
+    state = buckets.join(roots.select(F.col("u").alias("_k"), "root"), "_k", "left").select("key", "_k", F.coalesce("root", "_k").alias("root"))
+    open_keys = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    dealt = state.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("_k"), F.col("parts")).cast("int"))
+    dealt = dealt.select("key", "_k", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"))
+    dealt = dealt.select("key", "_k", "root", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
+    cells = dealt.join(rows.select("_k", "sketch"), "_k").repartition(shuffle_partitions(spark), "key", "i", "j")
+    return cells.mapInArrow(run, "u bigint, v bigint, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
+
+
+def verified(pairs: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have this Jaccard similarity, as a table; keyed: (_k, _t)."""
+    some = pairs.select(F.explode(F.array("u", "v")).alias("_k")).distinct()
+    sets = materialize(shingle_sets(keyed.join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
+    both = pairs.join(sets.select(F.col("_k").alias("u"), F.col("_s").alias("a")), "u").join(sets.select(F.col("_k").alias("v"), F.col("_s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    links = materialize(both.where((F.size("a") + F.size("b") == 0) | (common >= similarity * (F.size("a") + F.size("b") - common))).select("u", "v"), "links")
+    discard(sets)
+    return links
+
 
+def similar_components(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """keyed (_k, _t): (u, root) of the rows that a chain of similar pairs links; the pairs are those that share a band.
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 8, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Only pairs with a verified link ever count as connected. First each row of a
+    bucket meets the bucket's smallest and largest key, which joins groups of near
+    copies without their square of pairs; these are all pairs of buckets of up to
+    three. In larger ones all pairs that are still in different components follow,
+    the closest of each row first and a growing number of them a round, until no
+    row has any left.
+    """
+    total = BANDS * ROWS
+    least = int(total * similarity - SLACK * np.sqrt(total * similarity * (1 - similarity)))
+    rows = materialize(signatures(keyed, shingle), "signatures")
+    spread = rows.select("_k", F.explode("bands").alias("key"))
+    ends = spread.groupBy("key").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi")
+    buckets = materialize(spread.join(ends, "key").select("key", "_k", "lo", "hi").distinct(), "buckets")
+    met = buckets.select(F.col("_k").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    some = rows.select("_k", "sketch").dropDuplicates(["_k"])
+    pairs = materialize(near_sketches(met, some, least), "pairs")
+    links = verified(pairs, keyed, shingle, similarity)
+    roots = connected_components(links)
+    discard(pairs, links)
+    large = buckets.groupBy("key").count().where("count > 3").select("key")
+    left = materialize(buckets.select("key", "_k").join(large, "key"), "open")
+    discard(buckets)
+    most = FIRST
+    while True:
+        pairs = materialize(open_pairs(left, roots, some, least, most), "pairs")
+        n, more = pairs.agg(F.count("*"), F.max("more")).first()
+        if n:
+            links = verified(pairs.select("u", "v"), keyed, shingle, similarity)
+            roots = connected_components(roots.select("u", F.col("root").alias("v")).union(links))
+            discard(links)
+        discard(pairs)
+        if not more:
+            break
+        most *= FURTHER
+    discard(rows, left)
+    return roots
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows that go: (_k, component_id), _k as row_key() of the id and text. A group is a component of links, and its smallest id stays.
 
-    Candidates differ in `budget` bits at most in one of `tables` SimHashes of
-    their words, and their SimHashes of 512 bits of shingles are nearly as close as
-    `similarity` makes them. They link if the Jaccard similarity of their sets of
-    shingles (of hashes; lower-cased words between white space) is `similarity` or
-    more. Texts of fewer words than a shingle have one shingle, the whole sequence;
-    texts without words are alike. Rows equal in id and text stay or go together;
-    a row without an id stays only if its component has no id.
+    Rows link if the Jaccard similarity of their sets of shingles (of hashes;
+    lower-cased words between white space) is `similarity` or more. Candidates are
+    found by min-hashes of these sets, see similar_components(). Texts of fewer
+    words than a shingle have one shingle, the whole sequence; texts without words
+    are alike. Rows equal in id and text stay or go together; a row without an id
+    stays only if its component has no id.
     """
-    spark = docs.sparkSession
-    bounded_arrow(spark)
+    bounded_arrow(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_k", row_key("_id", "_t"))
-    rows = materialize(sketches(keyed.select("_k", "_t"), shingle, tables), "sketches")
-    pairs = materialize(similar_links(rows, budget, similar_bits(512, similarity)).where("u <> v").distinct(), "pairs")
-    discard(rows)
-    some = pairs.select(F.explode(F.array("u", "v")).alias("_k")).distinct()
-    sets = materialize(shingle_sets(keyed.select("_k", "_t").join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
-    discard()
-    both = pairs.join(sets.select(F.col("_k").alias("u"), F.col("_s").alias("a")), "u").join(sets.select(F.col("_k").alias("v"), F.col("_s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    links = both.where((F.size("a") + F.size("b") == 0) | (common >= similarity * (F.size("a") + F.size("b") - common))).select("u", "v")
-    roots = connected_components(links)
-    discard(pairs, sets)
+    roots = similar_components(keyed.select("_k", "_t"), shingle, similarity)
     members = materialize(keyed.select("_k", "_id").join(roots.withColumnRenamed("u", "_u"), F.col("_k") == F.col("_u")).select("_k", "_id", "root"), "members")
     order = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_k").alias("k"))
     least = members.groupBy(F.col("root").alias("_r")).agg(F.min(order).alias("m"))

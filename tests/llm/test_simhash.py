@@ -113,3 +113,24 @@ def test_null_ids_and_empty_tables(spark):
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, schema)).collect()
     # The row without an id goes for the one with the smallest; of those that have none, one key stays.
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:1]) for r in kept) in ([(0, ""), (0, "p"), (5, "a")], [(0, ""), (0, ""), (0, "p"), (5, "a")])
+
+
+def kept_and_wanted(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    kept = sorted(x[0] for x in simhash.drop_near_duplicates(docs).select("doc_id").collect())
+    sets = [shingles(t) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return kept, sorted(set(components_of(len(texts), near))), near
+
+
+def test_near_duplicates_by_one_run_of_words(spark):
+    """Texts appended, cut off or with another tail, at similarities just above and below 0.8."""
+    r = random.Random(11)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(150):
+        w = say(r.randint(60, 600))
+        cut = int(len(w) * r.uniform(0.01, 0.23))
+        texts += [" ".join(w), " ".join((w + say(cut), w[: len(w) - cut], w[: len(w) - cut // 2] + say(cut // 2))[k % 3])]
+    kept, want, near = kept_and_wanted(spark, texts)
+    assert kept == want and 100 < len(near) < 150
