@@ -134,3 +134,18 @@ def test_near_duplicates_by_one_run_of_words(spark):
         texts += [" ".join(w), " ".join((w + say(cut), w[: len(w) - cut], w[: len(w) - cut // 2] + say(cut // 2))[k % 3])]
     kept, want, near = kept_and_wanted(spark, texts)
     assert kept == want and 100 < len(near) < 150
+
+
+def test_near_duplicates_of_moved_sentences(spark):
+    """The same words in each text of a group; one of them is just too far from two that are alike."""
+    r = random.Random(12)
+    texts = []
+    for _ in range(80):
+        lines = [" ".join(f"w{r.randrange(10**6)}" for _ in range(10)) for _ in range(25)]
+        for moves in (0, 1, 3):
+            w = list(lines)
+            for _ in range(moves):
+                w.insert(r.randrange(24), w.pop(r.randrange(25)))
+            texts.append(" ".join(w))
+    kept, want, near = kept_and_wanted(spark, texts)
+    assert kept == want and len(near) >= 70
