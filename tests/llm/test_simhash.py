@@ -149,3 +149,20 @@ def test_near_duplicates_of_moved_sentences(spark):
             texts.append(" ".join(w))
     kept, want, near = kept_and_wanted(spark, texts)
     assert kept == want and len(near) >= 70
+
+
+@pytest.mark.parametrize("cell, first", [(1024, 16), (9, 1)])
+def test_near_duplicates_that_only_a_base_links(spark, monkeypatch, cell, first):
+    """Copies at about 0.86 to their base and 0.73 to each other; small cells and few partners take several rounds."""
+    monkeypatch.setattr(simhash, "CELL", cell, raising=False)
+    monkeypatch.setattr(simhash, "FIRST", first, raising=False)
+    r = random.Random(13)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(200):
+        w = list(base)
+        for at in r.sample(range(200), 3):
+            w[at] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    kept, want, near = kept_and_wanted(spark, texts)
+    assert kept == want and len(near) > 200
