@@ -1,4 +1,5 @@
 import random
+import re
 import subprocess
 import sys
 import time
@@ -88,3 +89,11 @@ def test_streams_reject_what_they_cannot_keep(spark):
             finished(df, mode)
     with pytest.raises(AnalysisException):
         raw.withWatermark("ts", "1 hour").groupBy("ts").count()
+
+
+def test_whole_texts(spark):
+    docs = table(spark, DATA, "documents").where("text IS NOT NULL")
+    got = {r["doc_id"]: r["c"] for r in catalog.QUERIES["fn_regex"](spark, DATA).collect()}
+    assert all(got[r["doc_id"]] == re.sub("[0-9]+", "#", r["text"]) for r in docs.collect())
+    words = sum(len(r["text"].split(" ")) for r in table(spark, DATA, "conversations").where("text IS NOT NULL").collect())
+    assert catalog.QUERIES["fn_explode"](spark, DATA).count() == words
