@@ -97,3 +97,10 @@ def test_whole_texts(spark):
     assert all(got[r["doc_id"]] == re.sub("[0-9]+", "#", r["text"]) for r in docs.collect())
     words = sum(len(r["text"].split(" ")) for r in table(spark, DATA, "conversations").where("text IS NOT NULL").collect())
     assert catalog.QUERIES["fn_explode"](spark, DATA).count() == words
+
+
+def test_no_row_left_out(spark):
+    assert catalog.QUERIES["join_natural"](spark, DATA).count() == table(spark, DATA, "documents").join(table(spark, DATA, "labels"), "doc_id").count()
+    got = [r["x"] for r in catalog.QUERIES["sort_nulls_last"](spark, DATA).collect()]
+    n = table(spark, DATA, "nation").where("n_regionkey = 1").count()
+    assert len(got) == table(spark, DATA, "nation").count() and n and got[-n:] == [None] * n
