@@ -13,7 +13,7 @@ sql_query("fn_json", "SELECT event_id, get_json_object(props, '$.k') AS a, from_
 sql_query("fn_map", "SELECT n_nationkey, m['a'] AS a, m['z'] AS z, array_join(map_keys(m), ',') AS k, cast(size(m) AS int) AS s FROM (SELECT n_nationkey, map('a', n_name, 'b', 'x') AS m FROM {nation})", "SELECT n_nationkey, n_name AS a, NULL::VARCHAR AS z, 'a,b' AS k, 2::INT AS s FROM nation")
 sql_query("fn_conditional", "SELECT n_nationkey, if(n_regionkey > 2, 'hi', 'lo') AS a, nvl(nullif(n_regionkey, 0), 9) AS b, least(n_regionkey, 2) AS c FROM {nation}", "SELECT n_nationkey, CASE WHEN n_regionkey > 2 THEN 'hi' ELSE 'lo' END AS a, coalesce(nullif(n_regionkey, 0), 9) AS b, least(n_regionkey, 2) AS c FROM nation")
 sql_query("fn_width_bucket", "SELECT o_orderkey, width_bucket(o_totalprice, 0, 500000, 10) AS b FROM {orders}", "SELECT o_orderkey, CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 500000 THEN 11 ELSE floor(o_totalprice / 50000) + 1 END::BIGINT AS b FROM orders")
-sql_query("vector_dot", "SELECT a.vec_id AS u, b.vec_id AS v, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> cast(x AS double) * y), 0D, (s, x) -> s + x), 5) AS dot FROM {embeddings} a JOIN {embeddings} b ON a.label = b.label AND a.vec_id < 20 AND b.vec_id < 40 AND a.vec_id < b.vec_id", "SELECT a.vec_id AS u, b.vec_id AS v, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < 20 AND b.vec_id < 40 AND a.vec_id < b.vec_id")
+sql_query("vector_dot", "SELECT a.vec_id AS u, b.vec_id AS v, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> cast(x AS double) * y), 0D, (s, x) -> s + x), 5) AS dot FROM {embeddings} a CROSS JOIN {embeddings} b WHERE a.vec_id % 20 = 0", "SELECT a.vec_id AS u, b.vec_id AS v, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS dot FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0")
 
 sql_query("fn_rounding", "SELECT o_orderkey, bround(o_custkey / 2, 0) AS a, floor(o_totalprice / 7) AS b, pmod(-o_custkey, 5) AS c, cast(o_custkey ^ 3 AS bigint) AS d, shiftleft(1, 3) AS e, try_add(2147483647, n) AS f FROM (SELECT *, 1 AS n FROM {orders})", "SELECT o_orderkey, round_even(o_custkey / 2, 0) AS a, floor(o_totalprice / 7)::BIGINT AS b, (5 - o_custkey % 5) % 5 AS c, xor(o_custkey, 3)::BIGINT AS d, 8::INT AS e, NULL::INT AS f FROM orders")
 sql_query("fn_array_build", "SELECT n_nationkey, array_join(transform(array_distinct(flatten(array(sequence(0, n_regionkey), array(n_regionkey, 1)))), x -> cast(x AS string)), ',') AS a, aggregate(sequence(0, n_nationkey), 0, (s, x) -> s + x) AS b, array_join(sort_array(array_union(array(n_name), array('z'))), ',') AS c, exists(sequence(0, n_regionkey), x -> x = 3) AS d FROM {nation}", "SELECT n_nationkey, array_to_string(list_sort(list_distinct(list_concat(range(n_regionkey + 1), [n_regionkey, 1]))), ',') AS a, (n_nationkey * (n_nationkey + 1) / 2)::INT AS b, n_name || ',z' AS c, n_regionkey >= 3 AS d FROM nation")

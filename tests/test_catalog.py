@@ -91,6 +91,12 @@ def test_streams_reject_what_they_cannot_keep(spark):
         raw.withWatermark("ts", "1 hour").groupBy("ts").count()
 
 
+def test_vector_dot_reads_every_embedding(spark):
+    ids = {r["vec_id"] for r in table(spark, DATA, "embeddings").collect()}
+    got = catalog.QUERIES["vector_dot"](spark, DATA).collect()
+    assert {(r["u"], r["v"]) for r in got} == {(u, v) for u in ids if u % 20 == 0 for v in ids}
+
+
 def test_whole_texts(spark):
     docs = table(spark, DATA, "documents").where("text IS NOT NULL")
     got = {r["doc_id"]: r["c"] for r in catalog.QUERIES["fn_regex"](spark, DATA).collect()}
