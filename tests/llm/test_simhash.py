@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from sparkloom.llm import components, simhash
 
 
@@ -166,3 +167,13 @@ def test_near_duplicates_that_only_a_base_links(spark, monkeypatch, cell, first)
         texts.append(" ".join(w))
     kept, want, near = kept_and_wanted(spark, texts)
     assert kept == want and len(near) > 200
+
+
+def test_hot_buckets_that_are_connected_reach_no_task(spark):
+    """Of 3,000 rows in one bucket and 4 in another, only those in different components are compared, each pair of them."""
+    n = simhash.BANDS * simhash.ROWS
+    rows = spark.range(3004).select(F.col("id").alias("_k"), F.lit(bytes(n)).alias("sketch"))
+    buckets = rows.select(F.when(F.col("_k") < 3000, 1).otherwise(2).cast("bigint").alias("key"), "_k")
+    roots = rows.where("_k < 3000").select(F.col("_k").alias("u"), F.lit(0).cast("bigint").alias("root"))
+    got = simhash.open_pairs(buckets, roots, rows, n, 16).collect()
+    assert sorted((r["u"], r["v"]) for r in got) == [(a, b) for a in range(3001, 3004) for b in range(3000, a)] and not any(r["more"] for r in got)
