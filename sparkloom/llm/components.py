@@ -37,4 +37,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return e.select("u", F.col("v").alias("root")).union(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
+    out = e.select("u", F.col("v").alias("root")).union(e.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
+    out.scratch_path = path  # for discard()
+    return out

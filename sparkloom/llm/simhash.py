@@ -40,12 +40,14 @@ PAIRS = 100_000
 SEED = 42
 #: Near-duplicates of texts meet if all ROWS min-hashes of one of BANDS bands are equal: at a similarity of 0.8, all but 1 in 7 million pairs.
 BANDS, ROWS = 30, 4
-#: Standard deviations by which the share of equal min-hashes may fall short of the similarity.
-SLACK = 5.5
+#: Bins of a sketch, and those that are compared first.
+BINS, PREFIX = 512, 64
+#: Standard deviations by which the share of equal bins may fall short of the similarity.
+SLACK = 5
 #: Partners that a row is tested with in the first round over open buckets, and how many times more in each further one.
-FIRST, FURTHER = 16, 16
-#: Rows of a part of a bucket; a task compares two parts at a time.
-CELL = 1024
+FIRST, FURTHER = 4, 16
+#: Rows, and shingles, of a part of a bucket; a task compares two parts at a time.
+CELL, CELL_SHINGLES = 4096, 2_000_000
 BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
 
@@ -179,31 +181,28 @@ def _joined(budget: int, top_of: dict[int, int]):
     return run
 
 
-def similar_bits(bits: int, similarity: float, slack: float = 1.5) -> int:
-    """Differing bits of SimHashes of two sets of one size with this Jaccard similarity: the mean and slack standard deviations."""
-    cosine = 2 * similarity / (1 + similarity)
-    p = np.arccos(cosine) / np.pi
-    return int(bits * p + slack * np.sqrt(bits * p * (1 - p)))
-
-
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (_k, _t): (_k, bands, sketch), of the set of word shingles (of the whole sequence, if that is shorter).
+    """docs (_k, _t): (_k, n, bands, sketch), of the set of word shingles (of the whole sequence, if that is shorter).
 
-    The set's smallest values under BANDS * ROWS hash functions are equal for two
-    sets with a chance of their Jaccard similarity each, whatever the edits. bands:
-    hashes of ROWS of them each; sketch: a byte of each, as binary.
+    n: the set's size. The set's smallest values under BANDS * ROWS hash functions
+    are equal for two sets with a chance of their Jaccard similarity each, whatever
+    the edits; bands: hashes of ROWS of them each. sketch: another hash deals the
+    set into BINS bins, with a byte of each bin's smallest value, 0 for none.
     """
     from sparkloom.llm.ctw import words_of
     from sparkloom.llm.decontaminate import chunks
 
-    bands, each = BANDS, ROWS
+    bands, each, bins = BANDS, ROWS, BINS
     odd = mixed(np.arange(1, bands * each + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    shift = np.uint64(64 - (bins - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("_t").to_pylist()]
             low = np.full((len(texts), bands * each), np.uint64(0xFFFFFFFFFFFFFFFF))
+            sketch = np.zeros((len(texts), bins), np.uint8)
+            count = np.zeros(len(texts), np.int32)
             at = 0
             for a, b in chunks(texts, 2 << 20):
                 words, size = words_of(texts[a:b])
@@ -213,22 +212,26 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 for e, n in zip(end.tolist(), size.tolist()):
                     if n:
                         pieces = np.unique(grams[e - n : e - shingle + 1]) if n >= shingle else gram_hashes(words[e - n : e], n)
+                        count[at] = len(pieces)
                         for i in range(0, len(pieces), 256):
                             np.minimum(low[at], (pieces[i : i + 256, None] * odd).min(axis=0), out=low[at])
+                        h = np.sort(mixed(pieces ^ np.uint64(BASE)))
+                        of = h >> shift
+                        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                        sketch[at, of[first].astype(np.int64)] = (h[first] % np.uint64(254)).astype(np.uint8) + 1
                     at += 1
             keys = np.zeros((len(texts), bands), np.uint64) + number
             for j in range(each):
                 keys = mixed(keys * np.uint64(BASE) + low[:, j::each])
-            sketch = (low >> np.uint64(56)).astype(np.uint8)
             flat = pa.array(keys.view(np.int64).ravel(), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(texts) + 1, bands), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["_k", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(count), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["_k", "n", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "_k bigint, bands array<bigint>, sketch binary")
+    return docs.mapInArrow(run, "_k bigint, n int, bands array<bigint>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (_k, _t): (_k, _s), the distinct hashes of each text's shingles, as sketches() has them."""
+    """docs (_k, _t): (_k, _s), the distinct hashes of each text's shingles in order, as 8 bytes each."""
     from sparkloom.llm.ctw import words_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,123 +239,192 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
             got = []
             for t in batch.column("_t").to_pylist():
                 words = words_of([(t or "").encode()])[0].view(np.uint64)
-                got.append(np.unique(gram_hashes(words, min(shingle, len(words)))).view(np.int64) if len(words) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(got, pa.list_(pa.int64()))], names=["_k", "_s"])
+                got.append(np.unique(gram_hashes(words, min(shingle, len(words)))).tobytes() if len(words) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(got, pa.binary())], names=["_k", "_s"])
+
+    return docs.mapInArrow(run, "_k bigint, _s binary")
+
 
-    return docs.mapInArrow(run, "_k bigint, _s array<bigint>")
+def near_enough(same: np.ndarray, either: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets may be similar of whose bins so many agree, of so many that either has: SLACK standard deviations are allowed."""
+    return same >= similarity * either - SLACK * np.sqrt(similarity * (1 - similarity) * either)
 
 
-def near_sketches(pairs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
-    """The pairs (u, v) whose sketches agree in `least` bytes or more; rows (_k, sketch)."""
+def sketch_pairs(x: np.ndarray, y: np.ndarray, ok: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the sketches x and y, and the share of bins that agree, of the pairs of ok that may be similar: tested on the first PREFIX bins, then on all."""
+    p, q = np.zeros(0, int), np.zeros(0, int)
+    one, two = x[:, :PREFIX], y[:, :PREFIX]
+    full = [(s > 0).astype(np.float32) for s in (one, two)]
+    both = full[0] @ full[1].T
+    either = full[0].sum(axis=1)[:, None] + full[1].sum(axis=1)[None] - both
+    two = np.where(two > 0, two, np.uint8(255))  # no bin without a value agrees
+    same = (one[:, None, :] == two[None]).sum(axis=2, dtype=np.int32)
+    p, q = np.nonzero(ok & near_enough(same, either, similarity))
+    share = np.zeros(len(p))
+    keep = np.zeros(len(p), bool)
+    for i in range(0, len(p), 4096):
+        a, b = x[p[i : i + 4096]], y[q[i : i + 4096]]
+        same = ((a == b) & (a > 0)).sum(axis=1)
+        either = ((a > 0) | (b > 0)).sum(axis=1)
+        share[i : i + 4096] = same / np.maximum(either, 1)
+        keep[i : i + 4096] = near_enough(same, either, similarity)
+    return p[keep], q[keep], share[keep]
+
+
+def hub_pairs(buckets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """buckets (key, _k): (u, v, cell) for each row u and the nearest of the smallest and largest rows v of its buckets, by the first PREFIX bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a", "b"))
-            ok = pa.array((a == b).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("u", "v")], names=["u", "v"])
-
-    one = rows.select(F.col("_k").alias("u"), F.col("sketch").alias("a"))
-    two = rows.select(F.col("_k").alias("v"), F.col("sketch").alias("b"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
-
-
-def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, least: int, most: int) -> DataFrame:
-    """buckets (key, _k): (u, v, more) for the pairs of a bucket in different components whose sketches agree in `least` bytes or more.
+            same, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
+            ok = pa.array(near_enough(same, either, similarity))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(ok) for c in ("u", "v")), pa.array(same / np.maximum(either, 1)).filter(ok)], names=["u", "v", "share"])
+
+    ends = buckets.groupBy("key").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"))
+    met = buckets.join(ends, "key").select(F.col("_k").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").distinct()
+    part = F.substring("sketch", 1, PREFIX)
+    one, two = rows.select(F.col("_k").alias("u"), part.alias("a")), rows.select(F.col("_k").alias("v"), part.alias("b"))
+    near = met.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint, share double")
+    best = near.groupBy("u").agg(F.max(F.struct("share", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+    # A hub's rows are dealt into parts, so that no task has all of a hot one's.
+    size = rows.select(F.col("_k").alias("u"), "n")
+    sized = best.join(size, "u")
+    parts = sized.groupBy("v").agg(F.sum(F.col("n") + 1).alias("m")).select("v", F.ceil(F.col("m") / CELL_SHINGLES).alias("parts"))
+    return sized.join(parts, "v").select("u", "v", F.xxhash64("v", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("cell"))
+
+
+def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, similarity: float, most: int) -> DataFrame:
+    """buckets (key, _k): (u, v, cell, more) for the pairs of a bucket in different components whose sketches may be those of similar sets.
 
     Each row has its `most` closest such partners of a cell; more tells that it has
     others. A bucket with rows of one component only comes to no task, and a large
     one is dealt into cells of two of its parts each, so that each pair has a cell.
     """
-    spark, cell = buckets.sparkSession, CELL
+    spark = buckets.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (got := list(batches)):
-            return
-        got = pa.Table.from_batches(got)
-        key, i, j, own, node, root = (got.column(c).to_numpy() for c in ("key", "i", "j", "own", "_k", "root"))
-        order = np.lexsort((node, j, i, key))
-        key, i, j, own, node, root = (x[order] for x in (key, i, j, own, node, root))
-        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint8).reshape(len(order), -1)[order]
-        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
-            names, which, count = np.unique(root[a:b], return_inverse=True, return_counts=True)
-            rest = a + np.flatnonzero(which != np.argmax(count))  # each pair has an end outside the largest component
-            step = max(1, (8 << 20) // ((b - a) * sketch.shape[1]))
+        for got in by_cell(batches):
+            own, node, root = (got.column(c).to_numpy() for c in ("own", "_k", "root"))
+            cell, one_part = got.column("cell")[0].as_py(), got.column("i")[0].as_py() == got.column("j")[0].as_py()
+            sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint8).reshape(len(own), -1)
+            names, which, count = np.unique(root, return_inverse=True, return_counts=True)
+            rest = np.flatnonzero(which != np.argmax(count))  # each pair has an end outside the largest component
+            step = max(1, (16 << 20) // (len(own) * PREFIX))
             for at in range(0, len(rest), step):
                 x = rest[at : at + step]
-                same = (sketch[x, None, :] == sketch[None, a:b, :]).sum(axis=2, dtype=np.int32)
-                ok = (same >= least) & (root[x, None] != root[None, a:b])
-                if i[a] != j[a]:
-                    ok &= own[x, None] != own[None, a:b]
-                over = ok.sum(axis=1) > most
-                for r in np.flatnonzero(over):
-                    some = np.flatnonzero(ok[r])
-                    ok[r] = False
-                    ok[r, some[np.argsort(-same[r, some], kind="stable")[:most]]] = True
-                p, q = np.nonzero(ok)
-                u, v = node[x[p]], node[a + q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(over[p])], names=["u", "v", "more"])
-
-    state = buckets.join(roots.select(F.col("u").alias("_k"), "root"), "_k", "left").select("key", "_k", F.coalesce("root", "_k").alias("root"))
-    open_keys = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b").select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+                ok = root[x, None] != root[None]
+                if not one_part:
+                    ok &= own[x, None] != own[None]
+                p, q, share = sketch_pairs(sketch[x], sketch, ok, similarity)
+                # The closest of each row.
+                order = np.lexsort((-share, p))
+                p, q = p[order], q[order]
+                nth = np.arange(len(p)) - np.searchsorted(p, p)
+                more = np.bincount(p, minlength=len(x))[p] > most
+                p, q, more = p[nth < most], q[nth < most], more[nth < most]
+                u, v = node[x[p]], node[q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(np.full(len(u), cell, np.int64)), pa.array(more)], names=["u", "v", "cell", "more"])
+
+    state = buckets.join(roots.select(F.col("u").alias("_k"), "root"), "_k", "left").select("key", "_k", "n", F.coalesce("root", "_k").alias("root"))
+    by_size = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum(F.col("n") + 1) / CELL_SHINGLES)).cast("int")
+    open_keys = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), by_size.alias("parts")).where("a < b").select("key", "parts")
     dealt = state.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("_k"), F.col("parts")).cast("int"))
     dealt = dealt.select("key", "_k", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"))
-    dealt = dealt.select("key", "_k", "root", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    cells = dealt.join(rows.select("_k", "sketch"), "_k").repartition(shuffle_partitions(spark), "key", "i", "j")
-    return cells.mapInArrow(run, "u bigint, v bigint, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
-
+    dealt = dealt.select("key", "_k", "root", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j")).withColumn("cell", F.xxhash64("key", "i", "j"))
+    cells = dealt.join(rows.select("_k", "sketch"), "_k").drop("key").repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "_k")
+    return cells.mapInArrow(run, "u bigint, v bigint, cell bigint, more boolean").groupBy("u", "v").agg(F.min("cell").alias("cell"), F.max("more").alias("more"))
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell; batches come in order of their cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cell = batch.column("cell").to_numpy()
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and held[0].column("cell")[0].as_py() != int(cell[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) with the components of the pairs (u, v, cell) whose sets have this Jaccard similarity, as a table; sets: (_k, _s).
+
+    A cell's sets come to one task once each, however many pairs they are in. A
+    pair that verified links of the cell connect already isn't tested.
+    """
 
-def verified(pairs: DataFrame, keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles have this Jaccard similarity, as a table; keyed: (_k, _t)."""
-    some = pairs.select(F.explode(F.array("u", "v")).alias("_k")).distinct()
-    sets = materialize(shingle_sets(keyed.join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
-    both = pairs.join(sets.select(F.col("_k").alias("u"), F.col("_s").alias("a")), "u").join(sets.select(F.col("_k").alias("v"), F.col("_s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    links = materialize(both.where((F.size("a") + F.size("b") == 0) | (common >= similarity * (F.size("a") + F.size("b") - common))).select("u", "v"), "links")
-    discard(sets)
-    return links
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in by_cell(batches):
+            u, v = got.column("u").to_numpy(), got.column("v").to_numpy(zero_copy_only=False)
+            bodies = got.column("_s")
+            is_set = np.array(bodies.is_valid())
+            place = {int(u[i]): n for n, i in enumerate(np.flatnonzero(is_set))}
+            held = [np.frombuffer(b, np.uint64) for b in bodies.drop_null().to_pylist()]
+            forest, out = Forest(len(held)), []
+            for i in np.flatnonzero(~is_set):
+                a, b = place[int(u[i])], place[int(v[i])]
+                x, y = held[a], held[b]
+                if len(x) > len(y):
+                    x, y = y, x
+                if len(x) < similarity * len(y):
+                    continue
+                ends = forest.find(np.array([a, b]))
+                if ends[0] == ends[1]:
+                    continue
+                common = int((y[np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))] == x).sum()) if len(x) else 0
+                if common >= similarity * (len(x) + len(y) - common):
+                    forest.link(np.array([a]), np.array([b]))
+                    out.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(u[out].astype(np.int64)), pa.array(v[out].astype(np.int64))], names=["u", "v"])
+
+    spark = pairs.sparkSession
+    members = pairs.select("cell", F.explode(F.array("u", "v")).alias("_k")).distinct()
+    whole = members.join(sets, "_k").select("cell", F.col("_k").alias("u"), F.lit(0).cast("bigint").alias("v"), "_s")
+    both = whole.union(pairs.select("cell", "u", "v", F.lit(None).cast("binary")))
+    return materialize(both.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint"), "links")
 
 
 def similar_components(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """keyed (_k, _t): (u, root) of the rows that a chain of similar pairs links; the pairs are those that share a band.
 
-    Only pairs with a verified link ever count as connected. First each row of a
-    bucket meets the bucket's smallest and largest key, which joins groups of near
-    copies without their square of pairs; these are all pairs of buckets of up to
-    three. In larger ones all pairs that are still in different components follow,
-    the closest of each row first and a growing number of them a round, until no
-    row has any left.
+    Only pairs with a verified link ever count as connected. First each row meets
+    the nearest of its buckets' smallest and largest keys, which joins groups of
+    near copies without their square of pairs. Then all pairs of a bucket that are
+    still in different components follow, the closest of each row first and a
+    growing number of them a round, until no row has any left.
     """
-    total = BANDS * ROWS
-    least = int(total * similarity - SLACK * np.sqrt(total * similarity * (1 - similarity)))
     rows = materialize(signatures(keyed, shingle), "signatures")
-    spread = rows.select("_k", F.explode("bands").alias("key"))
-    ends = spread.groupBy("key").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi")
-    buckets = materialize(spread.join(ends, "key").select("key", "_k", "lo", "hi").distinct(), "buckets")
-    met = buckets.select(F.col("_k").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    some = rows.select("_k", "sketch").dropDuplicates(["_k"])
-    pairs = materialize(near_sketches(met, some, least), "pairs")
-    links = verified(pairs, keyed, shingle, similarity)
+    spread = rows.select("_k", "n", F.explode("bands").alias("key"))
+    ends = spread.groupBy("key").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi").select("key")
+    buckets = materialize(spread.join(ends, "key", "left_semi").select("key", "_k", "n").distinct(), "buckets")
+    some = buckets.select("_k").distinct()
+    sketches = materialize(rows.select("_k", "n", "sketch").join(some, "_k", "left_semi").dropDuplicates(["_k"]), "sketches")
+    sets = materialize(shingle_sets(keyed.join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
+    discard(rows)
+    pairs = materialize(hub_pairs(buckets, sketches, similarity), "pairs")
+    links = verified(pairs, sets, similarity)
     roots = connected_components(links)
     discard(pairs, links)
-    large = buckets.groupBy("key").count().where("count > 3").select("key")
-    left = materialize(buckets.select("key", "_k").join(large, "key"), "open")
-    discard(buckets)
     most = FIRST
     while True:
-        pairs = materialize(open_pairs(left, roots, some, least, most), "pairs")
+        pairs = materialize(open_pairs(buckets, roots, sketches, similarity, most), "pairs")
         n, more = pairs.agg(F.count("*"), F.max("more")).first()
         if n:
-            links = verified(pairs.select("u", "v"), keyed, shingle, similarity)
-            roots = connected_components(roots.select("u", F.col("root").alias("v")).union(links))
-            discard(links)
+            links = verified(pairs.select("u", "v", "cell"), sets, similarity)
+            before, roots = roots, connected_components(roots.select("u", F.col("root").alias("v")).union(links))
+            discard(links, before)
         discard(pairs)
         if not more:
             break
         most *= FURTHER
-    discard(rows, left)
+    discard(buckets, sketches, sets)
     return roots
 
 

@@ -99,9 +99,26 @@ def test_near_duplicates(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).collect() == []
 
 
-def test_sketches_tell_similarity():
-    assert simhash.similar_bits(512, 1.0) == 0
-    assert 77 <= simhash.similar_bits(512, 0.8, 0) <= 78
+def test_sketches_tell_similarity(spark):
+    """The share of equal bins is near the similarity, and no pair at 0.8 or more is passed over."""
+    r = random.Random(1)
+    texts = []
+    for k in range(120):
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.choice((5, 8, 40, 300, 3000)))]
+        texts += [w, w[: int(len(w) * r.uniform(0.6, 1))] + [f"x{r.randrange(10**6)}" for _ in range(r.randint(0, 3))]]
+    rows = simhash.signatures(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "_k bigint, _t string"), 5).collect()
+    sketch = {x["_k"]: np.frombuffer(x["sketch"], np.uint8)[None] for x in rows}
+    sets = [shingles(" ".join(w)) for w in texts]
+    assert all(x["n"] == len(sets[x["_k"]]) for x in rows)
+    told = 0
+    for i in range(0, len(texts), 2):
+        j = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])
+        p, _, share = simhash.sketch_pairs(sketch[i], sketch[i + 1], np.ones((1, 1), bool), 0.8)
+        assert len(p) or j < 0.8
+        told += len(p)
+        if len(p) and len(sets[i]) > 250:
+            assert abs(share[0] - j) < 0.1
+    assert told < 120
     assert np.all(simhash.BITS.sum(axis=1) == [bin(b).count("1") for b in range(256)])
 
 
@@ -155,8 +172,9 @@ def test_near_duplicates_of_moved_sentences(spark):
 @pytest.mark.parametrize("cell, first", [(1024, 16), (9, 1)])
 def test_near_duplicates_that_only_a_base_links(spark, monkeypatch, cell, first):
     """Copies at about 0.86 to their base and 0.73 to each other; small cells and few partners take several rounds."""
-    monkeypatch.setattr(simhash, "CELL", cell, raising=False)
-    monkeypatch.setattr(simhash, "FIRST", first, raising=False)
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "CELL_SHINGLES", 200 * cell)
+    monkeypatch.setattr(simhash, "FIRST", first)
     r = random.Random(13)
     base = [f"w{r.randrange(10**6)}" for _ in range(200)]
     texts = [" ".join(base)]
@@ -171,9 +189,8 @@ def test_near_duplicates_that_only_a_base_links(spark, monkeypatch, cell, first)
 
 def test_hot_buckets_that_are_connected_reach_no_task(spark):
     """Of 3,000 rows in one bucket and 4 in another, only those in different components are compared, each pair of them."""
-    n = simhash.BANDS * simhash.ROWS
-    rows = spark.range(3004).select(F.col("id").alias("_k"), F.lit(bytes(n)).alias("sketch"))
-    buckets = rows.select(F.when(F.col("_k") < 3000, 1).otherwise(2).cast("bigint").alias("key"), "_k")
+    rows = spark.range(3004).select(F.col("id").alias("_k"), F.lit(7).alias("n"), F.lit(bytes(simhash.BINS)).alias("sketch"))
+    buckets = rows.select(F.when(F.col("_k") < 3000, 1).otherwise(2).cast("bigint").alias("key"), "_k", "n")
     roots = rows.where("_k < 3000").select(F.col("_k").alias("u"), F.lit(0).cast("bigint").alias("root"))
-    got = simhash.open_pairs(buckets, roots, rows, n, 16).collect()
+    got = simhash.open_pairs(buckets, roots, rows, 0.8, 16).collect()
     assert sorted((r["u"], r["v"]) for r in got) == [(a, b) for a in range(3001, 3004) for b in range(3000, a)] and not any(r["more"] for r in got)
