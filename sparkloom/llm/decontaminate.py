@@ -3,8 +3,8 @@
 Texts become lower-cased words. Of each SPAN-GRAM+1 successive hashes of GRAM
 words the smallest is kept, so any SPAN successive words that a document shares
 with an item hold a kept hash in common. Kept hashes of documents are looked up
-among those of the items; each hit is extended to both sides, word by word, and
-counts if it reaches SPAN words. An item of fewer than SPAN words is a window as
+among those of the items; each hit is extended to the windows of SPAN words around
+it, and those that an item has too count, with all their words. An item of fewer than SPAN words is a window as
 a whole: for its length every gram of a document is kept (windows of one).
 
 Items are a stated query set. They go to the executors in blocks of at most
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Shared, bounded_arrow
-from sparkloom.llm.rolling import gram_hashes, runs, window_min, word_hashes
+from sparkloom.llm.rolling import BASE, gram_hashes, mixed, runs, window_min, word_hashes
 
 SPAN, GRAM = 10, 5
 #: Bytes of item texts that one broadcast holds, and bytes of documents hashed at once.
@@ -59,45 +59,83 @@ def kept_grams(words: np.ndarray, first: np.ndarray, span: int, gram: int) -> tu
 
 
 class Block:
-    """Fingerprints of some items, by gram length."""
+    """Fingerprints of some items, by window length: the kept grams, and the windows with their items."""
 
     def __init__(self, ids: list, texts: list[bytes], span: int, gram: int) -> None:
         self.ids, self.span = ids, span
-        self.words, self.first = words_of(texts)
-        size = np.diff(self.first)
-        self.sets: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        words, first = words_of(texts)
+        size = np.diff(first)
+        item = np.repeat(np.arange(len(texts)), size)
+        self.sets: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         for s in sorted({min(int(n), span) for n in size if n}):
-            own = np.flatnonzero(size >= span) if s == span else np.flatnonzero(size == s)
-            place, h = kept_grams(self.words, self.first, s, min(gram, s) if s == span else s)
-            item = np.searchsorted(self.first, place, side="right") - 1
-            ok = np.isin(item, own)
-            order = np.argsort(h[ok], kind="stable")
-            self.sets.append((s, min(gram, s) if s == span else s, h[ok][order], place[ok][order]))
-
-    def hits(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, start, end) of the windows found, extended as far as they go; places are in words."""
-        for span, gram, hashes, places in self.sets:
-            at, h = kept_grams(words, first, span, gram)
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            found = np.flatnonzero(hi > lo)
-            done: dict[tuple[int, int, int], int] = {}
-            for f in found:
-                p = int(at[f])
-                text = int(np.searchsorted(first, p, side="right")) - 1
-                for q in places[lo[f] : hi[f]].tolist():
-                    item = int(np.searchsorted(self.first, q, side="right")) - 1
-                    if done.get((text, item, p - q), -1) > p:
-                        continue
-                    a, b = p, q
-                    t0, t1, i0, i1 = int(first[text]), int(first[text + 1]), int(self.first[item]), int(self.first[item + 1])
-                    while a > t0 and b > i0 and words[a - 1] == self.words[b - 1]:
-                        a, b = a - 1, b - 1
-                    e, g = p, q
-                    while e < t1 and g < i1 and words[e] == self.words[g]:
-                        e, g = e + 1, g + 1
-                    done[text, item, p - q] = e
-                    if e - a >= span:
-                        yield text, item, a - t0, e - t0
+            k = min(gram, s) if s == span else s
+            own = size >= span if s == span else size == s
+            place, kept = kept_grams(words, first, s, k)
+            windows = gram_hashes(words, s)
+            inside = item[: len(windows)] == item[s - 1 :]
+            inside &= own[item[: len(windows)]]
+            self.sets.append((s, k, np.unique(kept[own[item[place]]]), *distinct_pairs(windows[inside], item[: len(windows)][inside])))
+
+    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of some texts' words: the maximal runs of hit words (start, end, text), in words of the text; and text and item of each pair.
+
+        A kept gram of a text that is one of an item's opens the windows around it;
+        of these each is looked up whole, so the work is a text's words times the
+        window's length, whatever repeats.
+        """
+        n = len(first) - 1
+        text = np.repeat(np.arange(n), np.diff(first))
+        covered = np.zeros(len(words) + 1, np.int64)
+        found: list[np.ndarray] = []
+        for span, gram, kept, windows, items in self.sets:
+            place, h = kept_grams(words, first, span, gram)
+            at = place[member(kept, h)]
+            if not len(at):
+                continue
+            start = np.unique((at[:, None] - np.arange(span - gram + 1)).ravel())
+            start = start[(start >= 0) & (start + span <= len(words))]
+            start = start[text[start] == text[start + span - 1]]
+            whole = np.zeros(len(start), np.uint64)
+            for j in range(span):
+                whole = whole * np.uint64(BASE) + words[start + j]
+            whole = mixed(whole)
+            ok = member(windows, whole)
+            start, whole = start[ok], whole[ok]
+            np.add.at(covered, start, 1)
+            np.add.at(covered, start + span, -1)
+            # Each window of a text once, with all of its items.
+            of, whole = distinct_pairs(text[start], whole)
+            lo, hi = np.searchsorted(windows, whole, "left"), np.searchsorted(windows, whole, "right")
+            for i in range(0, len(of), 1 << 16):
+                count = (hi - lo)[i : i + (1 << 16)]
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                which = items[np.repeat(lo[i : i + (1 << 16)], count) + nth]
+                found.append(np.unique(np.repeat(of[i : i + (1 << 16)], count) * len(self.ids) + which))
+        hit = np.cumsum(covered)[:-1] > 0
+        # A run ends where its text does.
+        edge = np.zeros(len(words) + 1, bool)
+        edge[first[:-1]] = True
+        begin = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1])))) if len(hit) else np.zeros(0, int)
+        stop = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False])))) + 1 if len(hit) else begin
+        of = text[begin] if len(begin) else begin
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return (begin - first[of], stop - first[of], of, *np.divmod(pairs, max(1, len(self.ids))))
+
+
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs in order, each once."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def member(values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of asked are in values, which are in order."""
+    if not len(values):
+        return np.zeros(len(asked), bool)
+    return values[np.minimum(np.searchsorted(values, asked), len(values) - 1)] == asked
 
 
 def chunks(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
@@ -121,9 +159,11 @@ def _scan(block, every: bool, carry: tuple[str, ...] = ()):
             for begin, end in chunks(texts, CHUNK_BYTES):
                 words, first = words_of(texts[begin:end])
                 sizes[begin:end] = np.diff(first)
-                for text, item, a, e in index.hits(words, first):
-                    spans[begin + text].append({"start": a, "end": e})
-                    items[begin + text].add(index.ids[item])
+                a, e, of, text, item = (x.tolist() for x in index.hits(words, first))
+                for i, j, k in zip(a, e, of):
+                    spans[begin + k].append({"start": i, "end": j})
+                for k, i in zip(text, item):
+                    items[begin + k].add(index.ids[i])
             out = pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("_th"), *(batch.column(c) for c in carry), pa.array(sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([list(x) for x in items], pa.list_(pa.string()))],
                 names=["_id", "_th", *carry, "n_words", "spans", "items"],
@@ -134,12 +174,14 @@ def _scan(block, every: bool, carry: tuple[str, ...] = ()):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: the id, n_words, spans (array of start and end in words, overlaps possible), items (array of the item ids, as strings), and the columns named in carry.
+    """One row per row of docs: the id, n_words, spans (array of start and end in words, in order; those of different blocks of items may overlap), items (array of the item ids, as strings), and the columns named in carry.
 
     A null text has no words, and neither has a null item, which no document can
     contain. An item without an id counts as "null". Items repeated under one id
-    count once. Other columns are not read; empty tables on either side give
-    empty spans or no rows.
+    count once. A text may be of any length, and repeat itself or an item's words
+    as often as it likes: the work is linear in its words. Other columns are not
+    read, whatever their names; empty tables on either side give empty spans or
+    no rows.
     """
     spark = docs.sparkSession
     bounded_arrow(spark)

@@ -45,7 +45,7 @@ BINS, PREFIX = 512, 64
 #: Standard deviations by which the share of equal bins may fall short of the similarity.
 SLACK = 5
 #: Partners that a row is tested with in the first round over open buckets, and how many times more in each further one.
-FIRST, FURTHER = 4, 16
+FIRST, FURTHER = 16, 64
 #: Rows, and shingles, of a part of a bucket; a task compares two parts at a time.
 CELL, CELL_SHINGLES = 4096, 2_000_000
 BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)

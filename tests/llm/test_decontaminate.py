@@ -81,3 +81,16 @@ def test_carry(spark):
     for block in (1 << 20, 3):
         got = decontaminate.find_contamination(d, b, block_bytes=block, carry=("doc_id", "text", "source")).collect()
         assert [(r["doc_id"], r["text"], r["source"], sorted(r["items"])) for r in got] == [(1, "a b c", "s", ["1", "2"])]
+
+
+def test_equal_words_take_linear_time():
+    """20,000 equal words against an item of as many, and against many items that repeat them."""
+    import time
+
+    texts = [b"a " * 20_000, b"b a " * 10_000]
+    block = decontaminate.Block(["x", *map(str, range(200))], [texts[0], *[b"a " * 300 + b"b a " * 100] * 200], 10, 5)
+    t = time.time()
+    start, end, of, text, item = block.hits(*decontaminate.words_of(texts))
+    assert time.time() - t < 5
+    assert list(zip(start, end, of)) == [(0, 20_000, 0), (0, 20_000, 1)]
+    assert sorted(zip(text.tolist(), item.tolist())) == sorted([(0, 0), *((k, i) for k in range(2) for i in range(1, 201))])
