@@ -11,7 +11,8 @@ The network is trained in numpy, in one task, from at most train_docs labelled
 texts of at most train_bytes bytes each, those with the smallest hash of their id.
 Tables start from the document frequencies of words and grams among those texts:
 the lower bound of their log odds. A document's label is taught to its highest
-window, found anew in each round. Scoring is per row, in vectorised chunks, and
+window, and of a clean document to its CLEAN_WINDOWS highest, found anew in each
+round. Scoring is per row, in vectorised chunks, and
 each distinct word of a chunk is embedded once.
 """
 
@@ -30,11 +31,13 @@ from sparkloom.llm.decontaminate import WORD_BYTE, chunks
 from sparkloom.llm.rolling import BASE, mixed, runs, word_hashes
 
 TRAIN_DOCS, TRAIN_BYTES = 4000, 16 << 10
-WINDOW, STRIDE = 32, 24
-BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 4, 4, 8, 8
+WINDOW, STRIDE = 32, 8
+BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 4, 4, 16, 8
 GRAMS = (3, 4, 5)
 CHUNK_BYTES = 3 << 20
-BATCH, ROUNDS, STEPS, RATE = 64, 8, 500, 0.01
+BATCH, ROUNDS, STEPS, RATE = 64, 8, 1000, 0.01
+#: Windows that a clean text is taught by in each round, for all of theirs are clean; a toxic text is by one.
+CLEAN_WINDOWS = 3
 
 
 class Words:
@@ -203,10 +206,8 @@ def train(texts: list[bytes], label: np.ndarray, seed: int = 5) -> dict[str, np.
         if rounds:
             high = window_logits(words, net)[3]
         order = np.lexsort((-high, text))
-        best = order[np.concatenate(([True], text[order][1:] != text[order][:-1]))] if len(order) else order
-        # Beside each text's highest window: of clean texts any other one, for all of theirs are clean.
-        clean = np.flatnonzero(label[text] == 0)
-        picked = np.concatenate((best, r.choice(clean, min(len(clean), len(best) // 2), replace=False)))
+        nth = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+        picked = order[nth < np.where(label[text[order]] == 1, 1, CLEAN_WINDOWS)]
         for _ in range(max(1, -(-steps // ROUNDS // max(1, -(-len(picked) // BATCH))))):
             r.shuffle(picked)
             for i in range(0, len(picked), BATCH):
@@ -342,7 +343,10 @@ def score_toxicity(
     Rows whose crc32 of the id as text, modulo fold_of[0], is fold_of[1] are held
     out: their labels are never read. A null id has the crc of the empty text and
     no label. A null text is empty. Labels may be null or missing (unlabelled) or
-    repeated (the largest counts). Without usable labels all scores are equal.
+    repeated (the largest counts). Without usable labels, as with an empty table
+    of them, all scores are equal; without documents there are no rows. Texts of
+    any length are scored whole, but labelled ones over train_bytes teach nothing.
+    Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     bounded_arrow(spark)
