@@ -1,13 +1,13 @@
 """Licence scans with a positional index of rare tokens.
 
 Templates are word sequences, each with a mandatory key phrase inside. The index
-maps a word to its postings: template and place. A file's licence words are
-looked up with their places; the inverse document frequency of each comes from
-all files, and a template is entered at its rarest word only: a file is a
-candidate for it where it has that word. Postings then intersect by relative
-position: hits that agree on file, template and place of the template's first
-word add up, and a candidate counts if every word of the key phrase stands at its
-place. Its score is the share of the template's frequency weight that was found.
+maps a word to its postings: template and place. The inverse document frequency
+of each licence word comes from all files, and a template is looked up by its
+rarest word only: a file is a candidate where it has that word, and nothing else
+opens a template. The other postings of a candidate are then intersected by
+relative position, each asking for its word at its place, and a candidate counts
+if every word of the key phrase is there. Its score is the share of the template's
+frequency weight that was found.
 
 All of it is DataFrame functions; the index has a fixed number of rows.
 """
@@ -74,8 +74,10 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of docs: the id, n_words, found (array of template, label, base, start, score).
 
     A null text is empty. Base templates are the first of the index; start counts
-    words from 0 and is that of the template's first word. Repeated rows come out
-    repeated, a null id stays null, and other columns are not read.
+    words from 0 and is that of the template's first word. Texts of any length are
+    scanned whole, and of a word that repeats each place counts. Repeated rows come
+    out repeated, a null id stays null, other columns are not read, whatever their
+    names, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
     index = postings()
@@ -94,15 +96,19 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     idf = {w: 1 if w in COMMON else idf_of(total, seen.get(w, 0)) for w in vocabulary}
     full = {t: sum(idf[w] for u, w, _, _ in index if u == t) for t in range(len(labels))}
     needed = {t: sum(m for u, _, _, m in index if u == t) for t in range(len(labels))}
-    # The rarest word of the key phrase; of equals the first.
+    # The first step of a search: of each template one posting, that of the rarest word of its key phrase (of equals the first).
     entry = {t: min((-idf[w], i) for u, w, i, m in index if u == t and m)[1] for t in range(len(labels))}
-    rows = [(t, w, i, idf[w], int(m), int(entry[t] == i), full[t], needed[t], labels[t], t < len(BASE)) for t, w, i, m in index]
-    looked_up = spark.createDataFrame(rows, "t int, pw string, place int, idf bigint, mandatory int, entry int, full bigint, needed int, label string, base boolean")
+    rarest = spark.createDataFrame([(w, t, i) for t, w, i, _ in index if entry[t] == i], "pw string, t int, entry int")
+    candidates = each.join(F.broadcast(rarest), F.col("w") == F.col("pw")).select(F.col("_row").alias("_r"), "t", (F.col("i") - F.col("entry")).alias("start"))
+    # The second: the other postings of a candidate ask for their words at their places beside it.
+    rows = [(t, w, i, idf[w], int(m), full[t], needed[t], labels[t], t < len(BASE)) for t, w, i, m in index]
+    postings_of = spark.createDataFrame(rows, "t int, pw string, place int, idf bigint, mandatory int, full bigint, needed int, label string, base boolean")
+    asked = candidates.join(F.broadcast(postings_of), "t").withColumn("at", F.col("start") + F.col("place"))
     agreed = (
-        each.join(F.broadcast(looked_up), F.col("w") == F.col("pw"))
-        .groupBy("_row", "t", "label", "base", "full", "needed", (F.col("i") - F.col("place")).cast("long").alias("start"))
-        .agg(F.sum("idf").alias("weight"), F.sum("mandatory").alias("got"), F.max("entry").alias("entered"))
-        .where((F.col("entered") == 1) & (F.col("got") == F.col("needed")))
+        asked.join(each, (F.col("_r") == F.col("_row")) & (F.col("at") == F.col("i")) & (F.col("pw") == F.col("w")))
+        .groupBy("_row", "t", "label", "base", "full", "needed", F.col("start").cast("long").alias("start"))
+        .agg(F.sum("idf").alias("weight"), F.sum("mandatory").alias("got"))
+        .where(F.col("got") == F.col("needed"))
     )
     # The key phrase may start later than the template, so a start can lie before the text.
     found = agreed.groupBy(F.col("_row").alias("_r2")).agg(F.sort_array(F.collect_list(F.struct("t", "label", "base", "start", (F.col("weight") / F.col("full")).alias("score")))).alias("found"))

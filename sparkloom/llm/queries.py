@@ -102,7 +102,7 @@ ORACLES: dict[str, str] = {
     "op6_source_mix": r"""
         WITH d AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                 md5('mix' || coalesce(doc_id::VARCHAR, 'null')) AS o
+                 md5('mix' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS o
           FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         r AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2 * source_size AS cap FROM s),
@@ -115,11 +115,13 @@ ORACLES: dict[str, str] = {
         l AS (SELECT arg_min((budget - held) / open, cap / w) AS level FROM f WHERE (budget - held) / open <= cap / w),
         t AS (SELECT source, source_size, CASE WHEN level IS NULL OR cap <= level * w THEN cap::DOUBLE ELSE level * w END AS target FROM r, l),
         q AS (
-          SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS cut,
-                 sum(d.size) OVER (PARTITION BY d.source ORDER BY o, size, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS hi
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               (least(hi, cut) - least(hi - size, cut) + least(hi + source_size, cut) - least(hi + source_size - size, cut))::BIGINT AS taken
-        FROM q
+          SELECT d.doc_id, d.source, d.size, t.source_size, t.target, row_number() OVER w AS place, (sum(d.size) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS hi
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW w AS (PARTITION BY d.source ORDER BY o, size, doc_id)),
+        -- the queue: two copies of each document in order of their virtual finish
+        c AS (SELECT q.*, e, (hi + e * source_size)::DOUBLE / target AS finish FROM q, (VALUES (0), (1)) v(e) WHERE size > 0 AND target > 0),
+        z AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, e, place ROWS UNBOUNDED PRECEDING) AS upto FROM c),
+        k AS (SELECT source, place, sum(greatest(0, least(size, floor((SELECT 1.5::DOUBLE * sum(source_size) FROM s)) - upto + size))) AS taken FROM z GROUP BY ALL)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+        FROM q LEFT JOIN k ON q.source IS NOT DISTINCT FROM k.source AND q.place = k.place
     """,
 }

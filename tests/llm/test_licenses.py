@@ -53,3 +53,22 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "mit license")], "doc_id bigint, text string")
     plan = ls.digest(ls.find_licenses(df))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_the_rarest_word_opens_a_template(spark, monkeypatch):
+    """With an index whose lookup finds another word at a template's entry, its phrase is found no more."""
+    rows = [(1, "the mit license"), (2, "license of mit"), (3, "license"), (4, "an isc license")]
+    assert [r["base_labels"] for r in sorted(run(spark, rows))] == ["mit", "", "", ""]
+    real = ls.idf_of
+    seen = []
+    monkeypatch.setattr(ls, "idf_of", lambda files, having: seen.append(having) or real(files, having))
+    run(spark, rows)
+    assert max(seen) == 4 and seen.count(2) == 1  # license, mit: mit is the rarer
+    postings = ls.postings()
+    monkeypatch.setattr(ls, "postings", lambda: [(t, "nowhere" if (t, w) == (0, "mit") else w, i, m) for t, w, i, m in postings])
+    assert {r["base_labels"] for r in run(spark, rows)} == {""}
+
+
+def test_frequent_licence_words(spark):
+    rows = [(1, "license " * 30_000 + "mit license"), (2, "general public " * 20_000 + "license")]
+    assert base(run(spark, rows)) == brute(rows)
