@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,23 +45,35 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Spark deletes a query's shuffle files when it has ended; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
+    """df as Parquet files, and its shuffle files deleted; the session's settings stay as they were."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and any executor can read it again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    write_table(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes materialized tables that nothing reads any more, and lets Spark delete the shuffle files of finished steps."""
+    """Deletes materialized tables that nothing reads any more."""
     for df in tables:
         delete_path(df.sparkSession, df.scratch_path)
-    gc.collect()  # plans that Python still holds keep their shuffle files
-    SparkSession.active().sparkContext._jvm.System.gc()
-    time.sleep(0.3)  # files go in the background
 
 
 class Shared:
@@ -79,9 +92,29 @@ class Shared:
 
 
 def bounded_arrow(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
-    """Arrow batches of few rows and bytes (or of one row), for texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Lowers the session's Arrow batches to so many rows and bytes (or one row), for texts may be very long; smaller ones stay.
+
+    The setting counts when a result is read, so it can't be put back here.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of an integer column, by which the batches are in order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and held[0].column(key)[0].as_py() != int(values[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def ascii_lower(c: Column) -> Column:

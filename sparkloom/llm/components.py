@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import delete_path, scratch_path
+from sparkloom.llm.common import delete_path, scratch_path, write_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     def written(df: DataFrame):
         path = scratch_path(spark, "edges")
-        df.write.parquet(path)
+        write_table(df, path)
         return path, spark.read.schema(df.schema).parquet(path)
 
     path, e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Shared, bounded_arrow, materialize, scratch_path, shuffle_partitions
+from sparkloom.llm.common import Shared, bounded_arrow, materialize, scratch_path, shuffle_partitions, write_table
 from sparkloom.llm.decontaminate import chunks
 from sparkloom.llm.rolling import BASE, runs, word_hashes
 
@@ -340,7 +340,7 @@ def tallies(docs: DataFrame, depth: int) -> DataFrame:
     spark = docs.sparkSession
     dealt = rows.repartition(shuffle_partitions(spark), "kind", "value")
     path = scratch_path(spark, "tallies")
-    dealt.groupBy("kind", "value").agg(F.sum("n").alias("n")).write.partitionBy("kind").parquet(path)
+    write_table(dealt.groupBy("kind", "value").agg(F.sum("n").alias("n")), path, "kind")
     out = spark.read.schema("value bigint, n bigint, kind tinyint").parquet(path)
     out.scratch_path = path
     return out

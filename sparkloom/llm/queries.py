@@ -28,8 +28,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    covered = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return got.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), covered("shared").alias("n_shared_words"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

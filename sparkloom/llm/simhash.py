@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_arrow, discard, materialize, shuffle_partitions
+from sparkloom.llm.common import bounded_arrow, discard, grouped, materialize, shuffle_partitions
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.rolling import BASE, gram_hashes, mixed
 
@@ -306,7 +306,7 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, similarity
     spark = buckets.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in by_cell(batches):
+        for got in grouped(batches, "cell"):
             own, node, root = (got.column(c).to_numpy() for c in ("own", "_k", "root"))
             cell, one_part = got.column("cell")[0].as_py(), got.column("i")[0].as_py() == got.column("j")[0].as_py()
             sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint8).reshape(len(own), -1)
@@ -338,21 +338,6 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, similarity
     return cells.mapInArrow(run, "u bigint, v bigint, cell bigint, more boolean").groupBy("u", "v").agg(F.min("cell").alias("cell"), F.max("more").alias("more"))
 
 
-def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each cell; batches come in order of their cells."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        cell = batch.column("cell").to_numpy()
-        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
-        for a, b in zip(edges[:-1], edges[1:]):
-            if held and held[0].column("cell")[0].as_py() != int(cell[a]):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) with the components of the pairs (u, v, cell) whose sets have this Jaccard similarity, as a table; sets: (_k, _s).
 
@@ -361,7 +346,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in by_cell(batches):
+        for got in grouped(batches, "cell"):
             u, v = got.column("u").to_numpy(), got.column("v").to_numpy(zero_copy_only=False)
             bodies = got.column("_s")
             is_set = np.array(bodies.is_valid())

@@ -1,46 +1,58 @@
 """Removal of long repeated byte strings, with a logarithmic family of suffix arrays.
 
-Sampled suffixes. Of each REACH successive byte positions the one whose GRAM
-bytes hash smallest (of equals the first) is an anchor, so what a window of
-`length` bytes has as its anchor depends on the window's own bytes alone: equal
-windows have their anchors at the same place. A suffix array here holds the
-suffixes at the anchors, one for REACH / 2 bytes or so, in the order of a hash of
-their first length - REACH + 1 bytes, which lie inside every window of that
-anchor: suffixes that can take part in a long match are neighbours. (Every byte's
-suffix in the order of its text would be many times the input.)
-
-The family. A batch's array is scanned together with each existing level's, for
-keys that both have, and with itself; it then becomes a level, and two levels of
-equal size merge into one of twice that, so there are log(batches) levels and
-each entry is rewritten as often.
+Sampled suffixes. Of each `reach` successive positions the one whose `gram` units
+hash smallest (of equals the first) is an anchor, so what a window of `length`
+units has as its anchor depends on the window's own units alone: equal windows
+have their anchors at the same place. A suffix array here holds the suffixes at
+the anchors, one for reach / 2 units or so, in the order of their first eight bytes
+and, where these are equal, of a hash of their first length - reach + 1 units,
+which lie inside every window of that anchor: suffixes that can take part in a
+long match are neighbours. (Every byte's suffix would be many times the input.)
+
+The family. An array is cut at splitters, sampled once, into parts that are sorted
+files in a shared folder. A new batch is dealt to the parts, sorted, and scanned
+together with each existing level's file of that part, for neighbours that are
+equal; it then becomes a level, and two levels of equal size merge into one of
+twice that, so there are log(batches) levels and each entry is rewritten as often.
+Levels are never shuffled. A manifest beside the files names them, so a family can
+be opened again later and take another batch.
 
 Exactness. The suffixes whose keys matched are candidates; each stands for the
-run of windows that share the anchor. If the bytes of the whole run are the same
+run of windows that share the anchor. If the units of the whole run are the same
 as those of another, all of its windows repeat. Else, where a key has different
 runs, every window of one run of each kind is hashed and counted. Runs of the
 first kind are counted, not listed, so n copies of a passage cost n rows.
 Hashes have 64 bits; equal hashes of equal lengths count as equal strings.
+
+Units are bytes, for the strings that go, or words, for passages that documents
+share.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_arrow, delete_path, discard, materialize, scratch_path, shuffle_partitions
+from sparkloom.llm.common import bounded_arrow, delete_path, discard, grouped, materialize, scratch_path, shuffle_partitions, write_table
 from sparkloom.llm.rolling import mixed, prefix_hashes, span_hashes, window_min
 
 LENGTH, REACH, GRAM = 400, 112, 16
-#: Bytes of text hashed at once; a longer text goes in overlapping pieces.
-CHUNK_BYTES = 1 << 20
+#: The same in words, for passages that documents share.
+PASSAGE, PASSAGE_REACH, PASSAGE_GRAM = 50, 40, 4
+#: Units of text hashed at once; a longer text goes in overlapping pieces.
+CHUNK_BYTES, CHUNK_WORDS = 1 << 20, 1 << 18
 #: A table goes into the family in so many batches.
 BATCHES = 4
 #: An anchor's place takes the low bits of a position's rank, its hash the others.
 PLACE_BITS = 24
+#: Suffixes that the splitters are sampled from, and entries that a task sorts at once.
+SAMPLE, SORTED_AT_ONCE = 20_000, 1 << 20
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -48,8 +60,18 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def pieces(texts: list[bytes], length: int, most: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Groups of (text, offset, bytes) of about `most` bytes; every window of `length` lies in exactly one piece."""
+def units_of(texts: list[bytes], words: bool) -> list[np.ndarray]:
+    """The bytes of each text, or the hashes of its words between white space, lower-cased."""
+    if not words:
+        return [np.frombuffer(t, np.uint8) for t in texts]
+    from sparkloom.llm.ctw import words_of
+
+    hashes, size = words_of(texts)
+    return np.split(hashes.view(np.uint64), np.cumsum(size)[:-1]) if len(texts) else []
+
+
+def pieces(texts: list[np.ndarray], length: int, most: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Groups of (text, offset, units) of about `most` units; every window of `length` lies in exactly one piece."""
     got, size = [], 0
     for i, t in enumerate(texts):
         for at in range(0, max(len(t) - length + 1, 0), most):
@@ -63,11 +85,11 @@ def pieces(texts: list[bytes], length: int, most: int) -> Iterator[list[tuple[in
         yield got
 
 
-def entries_of(texts: list[bytes], length: int, reach: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with one anchor: text, first window's place, number of windows, key, hash of the run."""
-    key_bytes = length - reach + 1
-    for group in pieces(texts, length, CHUNK_BYTES):
-        buf = np.frombuffer(b"".join(p[2] for p in group), np.uint8)
+def entries_of(texts: list[np.ndarray], length: int, reach: int, gram: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows with one anchor: text, first window's place, number of windows, the suffix's first eight bytes and key, hash of the run."""
+    key_units = length - reach + 1
+    for group in pieces(texts, length, most):
+        buf = np.concatenate([p[2] for p in group])
         size = np.array([len(p[2]) for p in group])
         end = np.cumsum(size)
         prefix = prefix_hashes(buf)
@@ -81,64 +103,163 @@ def entries_of(texts: list[bytes], length: int, reach: int, gram: int) -> Iterat
         new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]))))
         first, anchor, piece = starts[new], anchor[new], piece[new]
         count = np.diff(np.concatenate((new, [len(starts)])))
-        key = span_hashes(prefix, anchor, anchor + key_bytes)
+        begin = buf[anchor].astype(np.uint64)
+        if buf.dtype == np.uint8:
+            for j in range(1, 8):
+                begin = begin << np.uint64(8) | (buf[anchor + j] if j < key_units else np.uint8(0)).astype(np.uint64)
+        key = span_hashes(prefix, anchor, anchor + key_units)
         whole = span_hashes(prefix, first, first + count + length - 1)
         whole = mixed(whole + (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
         text = np.array([p[0] for p in group])[piece]
         offset = np.array([p[1] for p in group])[piece] - (end - size)[piece]
-        yield text, first + offset, count, key, whole
+        yield text, first + offset, count, begin, key, whole
 
 
-def suffix_entries(docs: DataFrame, length: int, reach: int, gram: int, batches: int) -> DataFrame:
-    """docs (_k, _t): (_k, first, count, key, run, batch)."""
+def suffix_entries(docs: DataFrame, words: bool, length: int, reach: int, gram: int, batches: int) -> DataFrame:
+    """docs (_k, _t): (_k, first, count, head, key, run, batch). head and key are unsigned, kept in signed columns."""
+    most = CHUNK_WORDS if words else CHUNK_BYTES
 
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups:
             keys = batch.column("_k").to_numpy()
-            texts = [(t or "").encode() for t in batch.column("_t").to_pylist()]
-            for text, first, count, key, whole in entries_of(texts, length, reach, gram):
+            texts = units_of([(t or "").encode() for t in batch.column("_t").to_pylist()], words)
+            for text, first, count, head, key, whole in entries_of(texts, length, reach, gram, most):
                 own = keys[text]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(first), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array((own % batches).astype(np.int32))], names=["_k", "first", "count", "key", "run", "batch"])
+                columns = [own, first.astype(np.int32), count.astype(np.int32), head.view(np.int64), key.view(np.int64), whole.view(np.int64), (own % batches).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_k", "first", "count", "head", "key", "run", "batch"])
 
-    return docs.mapInArrow(run, "_k bigint, first bigint, count int, key bigint, run bigint, batch int")
+    return docs.mapInArrow(run, "_k bigint, first int, count int, head bigint, key bigint, run bigint, batch int")
 
 
 class SuffixFamily:
-    """Levels of sorted keys, in the shared folder; each level has taken in a power of two of batches."""
+    """Levels of sorted suffixes (head, key) in a folder of the shared store; each level has taken in a power of two of batches."""
 
-    def __init__(self, spark) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        """Opens the family that stands in the folder, or begins one; without a folder it lasts as long as the application."""
         self.spark = spark
-        self.levels: list[tuple[int, str, DataFrame]] = []
-
-    def _written(self, keys: DataFrame) -> tuple[str, DataFrame]:
-        path = scratch_path(self.spark, "level")
-        keys.write.parquet(path)
-        return path, self.spark.read.schema(keys.schema).parquet(path)
-
-    def _array(self, df: DataFrame) -> DataFrame:
-        return df.repartition(shuffle_partitions(self.spark), "key").sortWithinPartitions("key")
+        self.folder = folder or scratch_path(spark, "family")
+        self.splitters: list[int] | None = None
+        #: Number of batches, and the file of each part, largest first.
+        self.levels: list[tuple[int, dict[int, str]]] = []
+        path = self._path("manifest.json")
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if store.exists(path):
+            stream = store.open(path)
+            kept = json.loads(bytes(stream.readAllBytes()))
+            stream.close()
+            self.splitters = kept["splitters"]
+            self.levels = [(n, {int(p): f for p, f in files.items()}) for n, files in kept["levels"]]
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _save(self) -> None:
+        path = self._path("manifest.json")
+        stream = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        stream.write(bytearray(json.dumps({"splitters": self.splitters, "levels": self.levels}).encode()))
+        stream.close()
+
+    def _split(self, batch: DataFrame) -> None:
+        """Splitters from a sample of at most a few SAMPLE suffixes, four times as many as tasks."""
+        n = batch.count()
+        rows = batch.select("head").sample(min(1.0, SAMPLE / max(n, 1)), seed=1).collect()
+        heads = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+        parts = 4 * shuffle_partitions(self.spark)
+        self.splitters = [int(heads[len(heads) * i // parts]) for i in range(1, parts)] if len(heads) else []
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """batch (key): the distinct keys that it has twice or that a level has; then it is a level itself."""
-        path, own = self._written(self._array(batch.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("again"))))
-        found = own.where("again").select("key")
-        for _, _, level in self.levels:
-            found = found.union(own.join(level, "key", "left_semi").select("key"))
-        matched = materialize(found.distinct(), "matched")
-        size, level = 1, own.select("key")
+        """batch (head, key): the distinct keys that it has twice or that a level has, as a table; then it is a level itself."""
+        if self.splitters is None:
+            self._split(batch)
+        spark, folder, splitters = self.spark, self.folder, np.array(self.splitters, np.uint64)
+        # Levels that the new one takes up.
+        size, taken = 1, []
         while self.levels and self.levels[-1][0] == size:
-            _, old_path, old = self.levels.pop()
-            new_path, level = self._written(self._array(level.union(old).distinct()))
-            delete_path(self.spark, path)
-            delete_path(self.spark, old_path)
-            path, size = new_path, size * 2
-        self.levels.append((size, path, level))
+            taken.append(self.levels.pop())
+            size *= 2
+        others = self.levels
+
+        def deal(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Distinct suffixes of a piece, with their parts; a head that fills several parts is dealt over them by key."""
+            held, rows = [], 0
+            for group in groups:
+                held.append(group)
+                rows += group.num_rows
+                if rows >= SORTED_AT_ONCE:
+                    yield dealt(held)
+                    held, rows = [], 0
+            if rows:
+                yield dealt(held)
+
+        def dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            head, key = (np.concatenate([g.column(c).to_numpy() for g in held]).view(np.uint64) for c in ("head", "key"))
+            head, key, n = distinct(head, key)
+            lo, hi = np.searchsorted(splitters, head, "left"), np.searchsorted(splitters, head, "right")
+            part = lo + (key % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(head.view(np.int64)), pa.array(key.view(np.int64)), pa.array(n > 1)], names=["part", "head", "key", "again"])
+
+        def scan(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs, parquet
+
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            read = lambda name: tuple(c.to_numpy().view(np.uint64) for c in parquet.read_table(f"{root}/{name}", filesystem=store).columns)
+            for rows in grouped(groups, "part"):
+                part = rows.column("part")[0].as_py()
+                rows = rows.filter(rows.column("key").is_valid())
+                head, key = (rows.column(c).to_numpy().view(np.uint64) for c in ("head", "key"))
+                again = rows.column("again").to_numpy(zero_copy_only=False).astype(bool)
+                twice = distinct(head[again], key[again])[:2]
+                head, key, n = distinct(head, key)
+                found = (n > 1) | in_both(head, key, *twice)
+                merged = head, key
+                for files in [f for _, f in others] + [f for _, f in taken]:
+                    found |= in_both(head, key, *read(files[part]))
+                for _, files in taken:
+                    old = read(files[part])
+                    merged = distinct(np.concatenate((merged[0], old[0])), np.concatenate((merged[1], old[1])))[:2]
+                name = f"level-{part}-{uuid.uuid4().hex}.parquet"
+                parquet.write_table(pa.table({"head": merged[0].view(np.int64), "key": merged[1].view(np.int64)}), f"{root}/{name}", filesystem=store)
+                keys = key[found].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * (len(keys) + 1)), pa.array([name] + [None] * len(keys), pa.string()), pa.array(np.concatenate(([0], keys)))], names=["part", "file", "key"])
+
+        every = spark.range(len(splitters) + 1).selectExpr("id AS part", "cast(null AS bigint) AS head", "cast(null AS bigint) AS key", "false AS again")
+        spread = batch.select("head", "key").mapInArrow(deal, "part bigint, head bigint, key bigint, again boolean").union(every)
+        rows = spread.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part")
+        out = materialize(rows.mapInArrow(scan, "part bigint, file string, key bigint"), "matched")
+        self.levels.append((size, {r["part"]: r["file"] for r in out.where("file IS NOT NULL").select("part", "file").collect()}))  # a row for each part
+        self._save()
+        for _, files in taken:
+            for name in files.values():
+                delete_path(spark, f"{folder}/{name}")
+        matched = out.where("file IS NULL").select("key")
+        matched.scratch_path = out.scratch_path
         return matched
 
     def close(self) -> None:
-        """Deletes the levels."""
-        while self.levels:
-            delete_path(self.spark, self.levels.pop()[1])
+        """Deletes the family."""
+        delete_path(self.spark, self.folder)
+        self.levels = []
+
+
+def distinct(head: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes in order, each once, and how often each was there."""
+    order = np.lexsort((key, head))
+    head, key = head[order], key[order]
+    new = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (key[1:] != key[:-1])))) if len(head) else np.zeros(0, int)
+    return head[new], key[new], np.diff(np.concatenate((new, [len(head)])))
+
+
+def in_both(head: np.ndarray, key: np.ndarray, other_head: np.ndarray, other_key: np.ndarray) -> np.ndarray:
+    """Which of the distinct suffixes in order are among the others, by one scan of both: equal ones are neighbours."""
+    n = len(head)
+    h, k = np.concatenate((head, other_head)), np.concatenate((key, other_key))
+    order = np.lexsort((k, h))
+    h, k = h[order], k[order]
+    same = np.flatnonzero((h[1:] == h[:-1]) & (k[1:] == k[:-1]))
+    out = np.zeros(n, bool)
+    out[order[same][order[same] < n]] = True
+    return out
 
 
 def merged_spans(places: DataFrame) -> DataFrame:
@@ -160,33 +281,35 @@ def merged_spans(places: DataFrame) -> DataFrame:
     return places.groupBy("_k").agg(F.collect_list(F.struct("start", "end")).alias("_p")).mapInArrow(run, "_k bigint, spans array<struct<start:bigint,end:bigint>>")
 
 
-def window_rows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (_k, first, count): (hash, _k, start) of each of these windows of the texts."""
+def window_rows(docs: DataFrame, wanted: DataFrame, words: bool, length: int) -> DataFrame:
+    """wanted (_k, first, count, lo, hi): (hash, _k, start, lo, hi) of each of these windows of the texts."""
 
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups:
-            for key, text, ranges in zip(batch.column("_k").to_pylist(), batch.column("_t").to_pylist(), batch.column("_w").to_pylist()):
-                data = text.encode()
-                prefix = prefix_hashes(np.frombuffer(data, np.uint8))
-                at = np.unique(np.concatenate([np.arange(r["first"], r["first"] + r["count"]) for r in ranges]))
+            texts = units_of([t.encode() for t in batch.column("_t").to_pylist()], words)
+            for key, data, ranges in zip(batch.column("_k").to_pylist(), texts, batch.column("_w").to_pylist()):
+                prefix = prefix_hashes(data)
+                size = np.array([r["count"] for r in ranges])
+                at = np.concatenate([np.arange(r["first"], r["first"] + r["count"]) for r in ranges])
+                lo, hi = (np.repeat(np.array([r[c] for r in ranges], np.int64), size) for c in ("lo", "hi"))
                 h = span_hashes(prefix, at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), key, np.int64)), pa.array(at.astype(np.int64))], names=["hash", "_k", "start"])
+                columns = [h.view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int32), lo, hi]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "_k", "start", "lo", "hi"])
 
-    ranges = wanted.groupBy("_k").agg(F.collect_list(F.struct("first", "count")).alias("_w"))
-    return docs.join(ranges, "_k").select("_k", "_t", "_w").mapInArrow(run, "hash bigint, _k bigint, start bigint")
+    ranges = wanted.groupBy("_k").agg(F.collect_set(F.struct("first", "count", "lo", "hi")).alias("_w"))
+    return docs.join(ranges, "_k").select("_k", "_t", "_w").mapInArrow(run, "hash bigint, _k bigint, start int, lo bigint, hi bigint")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
-    """docs (_k, _t): (_k, spans) of the texts that have any byte covered by a string of `length` bytes that also starts elsewhere."""
+def repeated_spans(docs: DataFrame, words: bool, length: int, reach: int, gram: int, batches: int) -> DataFrame:
+    """docs (_k, _t): (_k, spans) of the texts that have any unit covered by a string of `length` units that also starts elsewhere; of words, in a text of another key."""
     spark = docs.sparkSession
     path = scratch_path(spark, "suffixes")
-    suffix_entries(docs, length, reach, gram, batches).write.partitionBy("batch").parquet(path)
-    entries = spark.read.schema("_k bigint, first bigint, count int, key bigint, run bigint, batch int").parquet(path)
-    discard()
+    columns = "_k bigint, first int, count int, head bigint, key bigint, run bigint, batch int"
+    write_table(suffix_entries(docs, words, length, reach, gram, batches), path, "batch")
+    entries = spark.read.schema(columns).parquet(path)
     family, matched = SuffixFamily(spark), []
     for b in range(batches):
-        matched.append(family.add(entries.where(F.col("batch") == b).select("key")))
-        discard()
+        matched.append(family.add(entries.where(F.col("batch") == b).select("head", "key")))
     family.close()
     found = matched[0]
     for m in matched[1:]:
@@ -197,33 +320,47 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, gr
     delete_path(spark, path)
     discard(keys, *matched)
     # One row for each kind of run of a key, with the first that has it.
-    kinds = materialize(hits.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "first", "count")).alias("one")), "kinds")
-    whole = hits.join(kinds.where("n > 1").select("key", "run"), ["key", "run"], "left_semi").select("_k", F.col("first").alias("start"), (F.col("first") + F.col("count") + (length - 1)).alias("end"))
+    repeats = F.col("lo") < F.col("hi") if words else F.col("n") > 1
+    kinds = hits.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.min(F.struct("_k", "first", "count")).alias("one"))
+    kinds = materialize(kinds.withColumn("repeats", repeats), "kinds")
+    whole = hits.join(kinds.where("repeats").select("key", "run"), ["key", "run"], "left_semi").select("_k", F.col("first").alias("start"), (F.col("first") + F.col("count") + (length - 1)).alias("end"))
     several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("key")
-    wanted = kinds.join(several, "key", "left_semi").select("one.*")
-    windows = materialize(window_rows(docs, wanted, length), "windows")
-    discard()
-    again = materialize(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "again")
-    discard()
+    mixed_up = kinds.join(several, "key", "left_semi")
+    wanted = mixed_up.select("one.*", "lo", "hi")
+    if words:  # a run that only one text has, but several times, is wanted at each of its places
+        own = mixed_up.where("n > 1 AND NOT repeats").select("key", "run", "lo", "hi")
+        wanted = wanted.union(hits.join(own, ["key", "run"]).select("_k", "first", "count", "lo", "hi"))
+    windows = materialize(window_rows(docs, wanted, words, length), "windows")
+    counted = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    again = materialize(counted.where(repeats).select("hash"), "again")
     single = windows.join(again, "hash", "left_semi").select("_k", "start", (F.col("start") + length).alias("end"))
     out = materialize(merged_spans(whole.union(single)), "spans")
     discard(hits, kinds, windows, again)
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """One row per row of docs: the id, n_bytes, spans (maximal removed runs, in bytes), kept (the remaining bytes, binary).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """One row per row of docs: the id, n_bytes, spans (maximal removed runs, in bytes), kept (the remaining bytes, binary), shared (runs of words, from 0).
 
     A null text is empty and has no spans; nor has one shorter than `length`.
     Windows that overlap count, also inside one text, and all copies of a string
-    go, judged on the input. A null id is an id like others; repeated rows are
-    copies of each other. Other columns are not read; an empty table is empty.
+    go, judged on the input. shared has the words that stand in a run of `passage`
+    successive words that another document has too, wherever; words are those
+    between white space, lower-cased, and rows equal in id and text are one
+    document there. A null id is an id like others; repeated rows are copies of
+    each other. Texts may be of any length. Other columns are not read, whatever
+    their names; an empty table is empty.
     """
     bounded_arrow(docs.sparkSession)
     reach = max(1, min(REACH, length * 2 // 5))
     keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_k", row_key("_id", "_t"))
-    spans = repeated_spans(keyed.select("_k", "_t"), length, reach, min(GRAM, length - reach + 1), batches)
-    joined = keyed.join(spans.withColumnRenamed("_k", "_k2"), F.col("_k") == F.col("_k2"), "left")
+    texts = keyed.select("_k", "_t")
+    spans = repeated_spans(texts, False, length, reach, min(GRAM, length - reach + 1), batches)
+    reach = max(1, min(PASSAGE_REACH, passage * 4 // 5))
+    shared = repeated_spans(texts, True, passage, reach, min(PASSAGE_GRAM, passage - reach + 1), batches)
+    both = spans.select("_k", "spans", F.lit(None).cast(shared.schema["spans"].dataType).alias("shared")).union(shared.select("_k", F.lit(None).cast(spans.schema["spans"].dataType), "spans"))
+    found = both.groupBy(F.col("_k").alias("_k2")).agg(F.first("spans", True).alias("spans"), F.first("shared", True).alias("shared"))
+    joined = keyed.join(found, F.col("_k") == F.col("_k2"), "left")
     data = F.encode("_t", "UTF-8")
     size = F.octet_length("_t")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -233,4 +370,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     end = F.concat(F.transform(got, lambda s: s["start"]), F.array(size.cast("bigint")))
     parts = F.zip_with(begin, end, lambda a, b: F.substring(data, (a + 1).cast("int"), (b - a).cast("int")))
     kept = F.when(F.col("spans").isNull(), data).otherwise(F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x)))
-    return joined.select(F.col("_id").alias(id_col), size.cast("long").alias("n_bytes"), got.alias("spans"), kept.alias("kept"))
+    return joined.select(F.col("_id").alias(id_col), size.cast("long").alias("n_bytes"), got.alias("spans"), kept.alias("kept"), F.coalesce("shared", none).alias("shared"))

@@ -79,7 +79,8 @@ def test_batches_are_bounded(spark):
         assert max(r["bytes"] for r in long.mapInArrow(sizes, "n bigint, bytes bigint").collect()) < 2 << 20
         assert max(r["n"] for r in spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n bigint, bytes bigint").collect()) == 100
     finally:
-        common.bounded_arrow(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def test_executors_need_no_copy_of_the_package(tmp_path):

@@ -63,8 +63,54 @@ def test_levels_merge_geometrically(spark):
     family = sd.SuffixFamily(spark)
     sizes = []
     for b in range(5):
-        matched = family.add(spark.range(b * 10, b * 10 + 15).selectExpr("id as key"))
+        matched = family.add(spark.range(b * 10, b * 10 + 15).selectExpr("id % 7 as head", "id as key"))
         assert sorted(r[0] for r in matched.collect()) == ([] if b == 0 else list(range(b * 10, b * 10 + 5)))
-        sizes.append([s for s, _, _ in family.levels])
+        sizes.append([s for s, _ in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
-    assert sorted(r[0] for _, _, level in family.levels for r in level.collect()) == sorted([*range(50), *range(50, 55), *range(40, 45)])
+    for _, files in family.levels:
+        rows = [r for p in sorted(files) for r in spark.read.parquet(f"{family.folder}/{files[p]}").collect()]
+        assert [r["head"] for r in rows] == sorted(r["head"] for r in rows) and len({tuple(r) for r in rows}) == len(rows)
+
+
+def test_a_stored_family_takes_another_batch(spark, tmp_path):
+    """Opened again it knows what it had; what the batch repeats is found against all levels, and with itself."""
+    r = random.Random(4)
+    rows = [(r.getrandbits(63), r.getrandbits(63)) for _ in range(4000)] + [(5, k) for k in range(2000)]
+    table = lambda some: spark.createDataFrame(some, "head bigint, key bigint")
+    folder = f"file://{tmp_path}/family"
+    seen = set()
+    for b in range(6):
+        some = r.sample(rows, 900)
+        some += some[:20]
+        got = sd.SuffixFamily(spark, folder).add(table(some))
+        assert sorted(x[0] for x in got.collect()) == sorted({k for h, k in some if (h, k) in seen} | {k for _, k in some[:20]})
+        seen |= set(some)
+    assert [s for s, _ in sd.SuffixFamily(spark, folder).levels] == [4, 2]
+
+
+def brute_shared(rows, passage):
+    """Words of each row that stand in a run of `passage` words that a row with another id or text has too."""
+    texts = [(t or "").lower().split() for _, t in rows]
+    seen = {}
+    for d, w in enumerate(texts):
+        for k in range(len(w) - passage + 1):
+            seen.setdefault(tuple(w[k : k + passage]), []).append((d, k))
+    hit = [set() for _ in texts]
+    for places in seen.values():
+        if len({rows[d] for d, _ in places}) > 1:
+            for d, k in places:
+                hit[d].update(range(k, k + passage))
+    return [len(h) for h in hit]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_passages_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    say = lambda n: " ".join(r.choice(("Aa", "b", "cé", "D", "e", "\n")) for _ in range(n))
+    passages = [say(r.randint(8, 30)) for _ in range(4)]
+    rows = [(i, f"{say(r.randint(0, 25))} {r.choice(passages)} {say(r.randint(0, 25))} {r.choice(passages)[:20]}") for i in range(25)]
+    rows += [(30, rows[0][1]), (31, (say(12) + " ") * 4), (32, None), (32, None), (33, say(200)), (33, say(200)), (34, rows[0][1][5:])]
+    rows += [rows[3], rows[3], (35, "z " * 40), (36, "y " * 40), (37, "y " * 9)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), 40, passage=10).collect()
+    covered = sorted((x["doc_id"], x["n_bytes"], sum(s["end"] - s["start"] for s in x["shared"])) for x in got)
+    assert covered == sorted((i, len((t or "").encode()), n) for (i, t), n in zip(rows, brute_shared(rows, 10)))
