@@ -12,8 +12,8 @@ values, and the traversal runs over many pairs at once in bounded pieces.
 Only distinct fingerprints are joined. Within a task links fold into a forest,
 so a cluster of n fingerprints gives n links at most, not n squared, and
 components over all blocks come from a distributed star algorithm. A block value
-that very many fingerprints share is cut once more by the same argument, on the
-remaining bits.
+that very many fingerprints share is cut again by the same argument, on the
+remaining bits, until no bucket is large.
 
 The pipeline's stage links texts by the Jaccard similarity of their shingles
 instead: min-hashes give candidates, and the sets themselves decide.
@@ -32,8 +32,8 @@ from sparkloom.llm.common import bounded_arrow, discard, grouped, materialize, s
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.rolling import BASE, gram_hashes, mixed
 
-#: A block value is cut again if it has this many fingerprints, and one in HOT_KEYS of all.
-HOT_ROWS, HOT_KEYS = 20_000, 1000
+#: A bucket is cut again if it has more than this many fingerprints, CUTS times at most; fingerprints that a task joins at once.
+HOT_ROWS, CUTS, JOINED_ROWS = 20_000, 3, 1 << 18
 #: Node pairs that are expanded at once.
 PAIRS = 100_000
 #: The hash's seed, which is that of Spark's xxhash64().
@@ -156,12 +156,8 @@ def cuts(bits: int, parts: int) -> list[int]:
     return [bits // parts + (i < bits % parts) for i in range(parts)]
 
 
-def _joined(budget: int, top_of: dict[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows: a bucket, the number of top bits that agree in it, and a rotated fingerprint with the turn that undoes it."""
-        if not (rows := list(batches)):
-            return
-        got = pa.Table.from_batches(rows)
+def _joined(budget: int, top_of: dict[int, tuple[int, int]]):
+    def joined(got: pa.Table) -> pa.RecordBatch:
         kind, key, more, value = (got.column(c).to_numpy() for c in ("kind", "key", "more", "value"))
         value = value.view(np.uint64)
         order = np.lexsort((value, more, key, kind))
@@ -169,14 +165,27 @@ def _joined(budget: int, top_of: dict[int, int]):
         new = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (more[1:] != more[:-1]))))
         end = np.concatenate((new[1:], [len(value)]))
         forest = Forest(len(value))
-        for k in np.unique(kind[new]):
-            own = kind[new] == k
-            trie_links(value, new[own], end[own], top_of[int(k)], budget, forest)
+        tops = np.array([top_of[int(k)][0] for k in kind[new]])
+        for top in np.unique(tops):
+            own = tops == top
+            trie_links(value, new[own], end[own], int(top), budget, forest)
         root = forest.find(np.arange(len(value)))
         linked = np.flatnonzero(root != np.arange(len(value)))
-        turn = (kind // 8).astype(np.uint64)
-        back = (value >> turn) | (value << ((np.uint64(64) - turn) & np.uint64(63)))
-        yield pa.RecordBatch.from_arrays([pa.array(back[linked].view(np.int64)), pa.array(back[root[linked]].view(np.int64))], names=["u", "v"])
+        turn = np.array([top_of[int(k)][1] for k in kind[linked]], np.uint64)
+        undo = lambda x: (x >> turn) | (x << ((np.uint64(64) - turn) & np.uint64(63)))
+        return pa.RecordBatch.from_arrays([pa.array(undo(value[linked]).view(np.int64)), pa.array(undo(value[root[linked]]).view(np.int64))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of whole buckets, JOINED_ROWS or a bucket at a time: the bucket, and a rotated fingerprint."""
+        held, rows = [], 0
+        for bucket in grouped(batches, "bucket"):
+            if rows and rows + bucket.num_rows > JOINED_ROWS:
+                yield joined(pa.concat_tables(held))
+                held, rows = [], 0
+            held.append(bucket)
+            rows += bucket.num_rows
+        if rows:
+            yield joined(pa.concat_tables(held))
 
     return run
 
@@ -444,51 +453,67 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     return docs.join(gone, row_key(id_col, text_col) == F.col(name), "left_anti")
 
 
+def cut_again(masks: dict[int, int], budget: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Of each kind of bucket, which agrees on the bits of its mask: the kinds that a cut of its other bits into budget + 1 blocks makes, with the block's bits and those that then agree."""
+    out, number = {}, max(masks)
+    for kind, mask in masks.items():
+        left = [b for b in range(63, -1, -1) if not mask >> b & 1]
+        at, made = 0, []
+        for w in cuts(len(left), budget + 1):
+            block = sum(1 << b for b in left[at : at + w])
+            number += 1
+            made.append((number, block, mask | block))
+            at += w
+        out[kind] = made
+    return out
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def fingerprint_links(fps: DataFrame, budget: int) -> DataFrame:
     """fps (_fp): links (u, v) whose components are those of all pairs that differ in at most `budget` bits.
 
-    kind is 8 times the rotation, plus 1 and the number of the second block for
-    block values that are cut again. Values of such a second bucket agree on more
-    bits than the top ones; these are rotated only within the traversal's reach,
-    so their top is still the first block's.
+    A bucket holds the fingerprints, rotated, that agree on a block of bits at the
+    top. One of over HOT_ROWS is cut again by the same argument, on its other bits,
+    and so on until it is small or CUTS times: with a budget of 2 the bits that are
+    then left make 16,384 values at most, so no bucket is larger than HOT_ROWS,
+    whatever the fingerprints. Buckets of later cuts agree on more bits
+    than the top ones; these are rotated only within the traversal's reach.
     """
     spark = fps.sparkSession
-    widths = cuts(64, budget + 1)
-    turned, top_of, at = [], {}, 0
-    for w in widths:
+    n, widths = shuffle_partitions(spark), cuts(64, budget + 1)
+    turned, masks, top_of, at = [], {}, {}, 0
+    for kind, w in enumerate(widths):
         rot = F.col("_fp") if not at else F.shiftleft("_fp", at).bitwiseOR(F.shiftrightunsigned("_fp", 64 - at))
-        turned.append(F.struct(F.lit(at * 8).alias("kind"), F.shiftrightunsigned(rot, 64 - w).alias("key"), rot.alias("value"), F.lit(w).alias("w")))
-        for s in range(budget + 2):
-            top_of[at * 8 + s] = 64 - w
+        turned.append(F.struct(F.lit(kind).alias("kind"), F.shiftrightunsigned(rot, 64 - w).alias("key"), F.lit(0).cast("bigint").alias("more"), rot.alias("value")))
+        masks[kind], top_of[kind] = ((1 << w) - 1) << (64 - w), (64 - w, at)
         at += w
-    rows = fps.select(F.explode(F.array(*turned)).alias("x")).select("x.*")
-    n = fps.count()
-    least = max(HOT_ROWS, 3 * n // HOT_KEYS + 1)
-    # At most HOT_KEYS * (budget + 1) keys, for each stands for so many rows.
-    hot = rows.groupBy("kind", "key").count().where(F.col("count") >= least).select(F.col("kind").alias("hk"), F.col("key").alias("hv"))
-    hot_keys = hot.collect()
-    plain = rows.withColumn("more", F.lit(0).cast("bigint"))
-    if hot_keys:
-        is_hot = F.lit(False)
-        for r in hot_keys:
-            is_hot = is_hot | ((F.col("kind") == r["hk"]) & (F.col("key") == r["hv"]))
-        second = F.lit(None).cast("array<struct<kind:int,more:bigint>>")
-        for w in dict.fromkeys(widths):
-            rest, parts = 64 - w, []
-            for s, v in enumerate(cuts(64 - w, budget + 1)):
-                rest -= v
-                parts.append(F.struct((F.col("kind") + 1 + s).alias("kind"), F.shiftrightunsigned("value", rest).bitwiseAND(F.lit((1 << v) - 1)).alias("more")))
-            second = F.when(F.col("w") == w, F.array(*parts)).otherwise(second)
-        again = rows.where(is_hot).select(F.explode(second).alias("y"), "key", "value").select("y.kind", "key", "y.more", "value")
-        plain = plain.where(~is_hot).select("kind", "key", "more", "value").unionByName(again)
-    spread = plain.select("kind", "key", "more", "value").repartition(shuffle_partitions(spark), "kind", "key", "more")
+    rows, done = fps.select(F.explode(F.array(*turned)).alias("x")).select("x.*"), []
+    for _ in range(CUTS):
+        hot = materialize(rows.groupBy("kind", "key", "more").count().where(F.col("count") > HOT_ROWS).select("kind", "key", "more"), "hot")
+        if not hot.count():
+            break
+        done.append(rows.join(hot, ["kind", "key", "more"], "left_anti"))
+        made = cut_again(masks, budget)
+        top_of |= {new: top_of[kind] for kind, parts in made.items() for new, _, _ in parts}
+        of = F.lit(None).cast("array<struct<kind:int,more:bigint>>")
+        for kind, parts in made.items():
+            of = F.when(F.col("kind") == kind, F.array(*[F.struct(F.lit(new).alias("kind"), F.xxhash64("more", F.col("value").bitwiseAND(F.lit(signed(block)))).alias("more")) for new, block, _ in parts])).otherwise(of)
+        rows = rows.join(hot, ["kind", "key", "more"], "left_semi").select(F.explode(of).alias("y"), "key", "value").select("y.kind", "key", "y.more", "value")
+        masks = {new: mask for parts in made.values() for new, _, mask in parts}
+    for more in done:
+        rows = rows.unionByName(more)
+    spread = rows.select("kind", "key", "more", "value", F.xxhash64("kind", "key", "more").alias("bucket")).repartition(n, "bucket").sortWithinPartitions("bucket")
     return spread.mapInArrow(_joined(budget, top_of), "u bigint, v bigint")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, fingerprint (16 hex digits), component_id (the smallest id reachable over links).
 
-    Null and empty texts have fingerprint zero, and link like any other. Null ids
+    Null and empty texts have fingerprint zero, and link like any other; texts of
+    any length are read whole. Null ids
     are passed over for component_id, which is null only if all of a component
     are. Repeated rows come out repeated. Other columns are not read; an empty
     table gives an empty result.

@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     Windows that overlap count, also inside one text, and all copies of a string
     go, judged on the input. shared has the words that stand in a run of `passage`
     successive words that another document has too, wherever; words are those
-    between white space, lower-cased, and rows equal in id and text are one
+    between white space, A-Z in lower case, and rows equal in id and text are one
     document there. A null id is an id like others; repeated rows are copies of
     each other. Texts may be of any length. Other columns are not read, whatever
     their names; an empty table is empty.

@@ -44,6 +44,7 @@ def test_query_against_brute_force(spark):
 @pytest.mark.parametrize("budget", [0, 1, 2, 3])
 def test_links_against_all_pairs(spark, monkeypatch, hot, budget):
     monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    monkeypatch.setattr(simhash, "JOINED_ROWS", 40)
     monkeypatch.setattr(simhash, "PAIRS", 50)
     r = random.Random(budget)
     values = {0, 1, (1 << 64) - 1}
@@ -63,6 +64,14 @@ def test_links_against_all_pairs(spark, monkeypatch, hot, budget):
     assert components_of(len(values), [(at[u], at[v]) for u, v in links]) == components_of(len(values), want)
 
 
+def test_buckets_have_a_bound():
+    """After the last cut a bucket's bits leave fewer than HOT_ROWS values at the query's budget."""
+    masks = {k: 0 for k in range(1)}
+    for _ in range(simhash.CUTS + 1):
+        masks = {new: mask for parts in simhash.cut_again(masks, 2).values() for new, _, mask in parts}
+    assert 2 ** max(64 - m.bit_count() for m in masks.values()) < simhash.HOT_ROWS and len(masks) == 81
+
+
 def test_components(spark):
     r = random.Random(0)
     pairs = [(k, k + 1) for k in range(0, 60)] + [(r.randint(100, 400), r.randint(100, 400)) for _ in range(150)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5)]
