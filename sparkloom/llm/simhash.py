@@ -48,6 +48,8 @@ SLACK = 5
 FIRST, FURTHER = 16, 64
 #: Rows, and shingles, of a part of a bucket; a task compares two parts at a time.
 CELL, CELL_SHINGLES = 4096, 2_000_000
+#: Pairs go as records of about this many at most: the rows that they are of, and the places of both ends among these.
+RECORD_PAIRS, PAIRS_OF = 1 << 18, "cell bigint, members array<bigint>, p array<int>, q array<int>, more boolean"
 BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
 
@@ -113,6 +115,11 @@ class Forest:
             self.parent[x] = self.parent[up]
             x = self.parent[x]
 
+    def one(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return int(x)
+
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
             a, b = self.find(a), self.find(b)
@@ -281,7 +288,7 @@ def sketch_pairs(x: np.ndarray, y: np.ndarray, ok: np.ndarray, similarity: float
 
 
 def hub_pairs(buckets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """buckets (key, _k): (u, v, cell) for each row u and the nearest of the smallest and largest rows v of its buckets, by the first PREFIX bins."""
+    """buckets (key, _k): records of PAIRS_OF for each row and the nearest of the smallest and largest rows of its buckets, by the first PREFIX bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,89 +306,113 @@ def hub_pairs(buckets: DataFrame, rows: DataFrame, similarity: float) -> DataFra
     near = met.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint, share double")
     best = near.groupBy("u").agg(F.max(F.struct("share", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
     # A hub's rows are dealt into parts, so that no task has all of a hot one's.
-    size = rows.select(F.col("_k").alias("u"), "n")
-    sized = best.join(size, "u")
-    parts = sized.groupBy("v").agg(F.sum(F.col("n") + 1).alias("m")).select("v", F.ceil(F.col("m") / CELL_SHINGLES).alias("parts"))
-    return sized.join(parts, "v").select("u", "v", F.xxhash64("v", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("cell"))
+    sized = best.join(rows.select(F.col("_k").alias("u"), "n"), "u")
+    parts = sized.groupBy("v").agg(by_size().alias("parts"))
+    cells = sized.join(parts, "v").select("u", "v", F.xxhash64("v", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("cell")).groupBy("cell", "v").agg(F.collect_list("u").alias("us"))
+    return cells.select("cell", F.concat(F.array("v"), "us").alias("members"), F.sequence(F.lit(1), F.size("us")).alias("p"), F.array_repeat(F.lit(0), F.size("us")).alias("q"), F.lit(False).alias("more"))
+
+
+def by_size():
+    """The number of parts for a group of rows with n shingles each."""
+    return F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum(F.col("n") + 1) / CELL_SHINGLES)).cast("int")
 
 
 def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, similarity: float, most: int) -> DataFrame:
-    """buckets (key, _k): (u, v, cell, more) for the pairs of a bucket in different components whose sketches may be those of similar sets.
+    """buckets (key, _k): records of PAIRS_OF for the pairs of a bucket in different components whose sketches may be those of similar sets.
 
-    Each row has its `most` closest such partners of a cell; more tells that it has
-    others. A bucket with rows of one component only comes to no task, and a large
-    one is dealt into cells of two of its parts each, so that each pair has a cell.
+    A pair belongs to the first band that it shares, so it comes once. Each row has
+    its `most` closest such partners of a cell; more tells that it has others. A
+    bucket with rows of one component only comes to no task, and a large one is
+    dealt into cells of two of its parts each, so that each pair has a cell.
     """
     spark = buckets.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in grouped(batches, "cell"):
             own, node, root = (got.column(c).to_numpy() for c in ("own", "_k", "root"))
-            cell, one_part = got.column("cell")[0].as_py(), got.column("i")[0].as_py() == got.column("j")[0].as_py()
+            cell, key, one_part = got.column("cell")[0].as_py(), got.column("key")[0].as_py(), got.column("i")[0].as_py() == got.column("j")[0].as_py()
             sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint8).reshape(len(own), -1)
+            bands = got.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
             names, which, count = np.unique(root, return_inverse=True, return_counts=True)
             rest = np.flatnonzero(which != np.argmax(count))  # each pair has an end outside the largest component
+            outside = np.zeros(len(own), bool)
+            outside[rest] = True
             step = max(1, (16 << 20) // (len(own) * PREFIX))
+            ps, qs, over, held = [], [], False, 0
             for at in range(0, len(rest), step):
                 x = rest[at : at + step]
-                ok = root[x, None] != root[None]
+                # A pair with both ends outside is met from its first.
+                ok = (root[x, None] != root[None]) & (~outside[None] | (np.arange(len(own))[None] > x[:, None]))
                 if not one_part:
                     ok &= own[x, None] != own[None]
                 p, q, share = sketch_pairs(sketch[x], sketch, ok, similarity)
+                common = bands[x[p]] == bands[q]
+                first = bands[x[p], common.argmax(axis=1)] == key if len(p) else np.zeros(0, bool)
+                p, q, share = p[first], q[first], share[first]
                 # The closest of each row.
                 order = np.lexsort((-share, p))
                 p, q = p[order], q[order]
                 nth = np.arange(len(p)) - np.searchsorted(p, p)
-                more = np.bincount(p, minlength=len(x))[p] > most
-                p, q, more = p[nth < most], q[nth < most], more[nth < most]
-                u, v = node[x[p]], node[q]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(np.full(len(u), cell, np.int64)), pa.array(more)], names=["u", "v", "cell", "more"])
+                over |= bool((nth >= most).any())
+                ps.append(x[p[nth < most]])
+                qs.append(q[nth < most])
+                held += len(ps[-1])
+                if held > RECORD_PAIRS:
+                    yield record(cell, len(ps) + at, node, ps, qs, over)
+                    ps, qs, held = [], [], 0
+            if held:
+                yield record(cell, -1, node, ps, qs, over)
 
     state = buckets.join(roots.select(F.col("u").alias("_k"), "root"), "_k", "left").select("key", "_k", "n", F.coalesce("root", "_k").alias("root"))
-    by_size = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum(F.col("n") + 1) / CELL_SHINGLES)).cast("int")
-    open_keys = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), by_size.alias("parts")).where("a < b").select("key", "parts")
+    open_keys = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), by_size().alias("parts")).where("a < b").select("key", "parts")
     dealt = state.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("_k"), F.col("parts")).cast("int"))
     dealt = dealt.select("key", "_k", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"))
     dealt = dealt.select("key", "_k", "root", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j")).withColumn("cell", F.xxhash64("key", "i", "j"))
-    cells = dealt.join(rows.select("_k", "sketch"), "_k").drop("key").repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "_k")
-    return cells.mapInArrow(run, "u bigint, v bigint, cell bigint, more boolean").groupBy("u", "v").agg(F.min("cell").alias("cell"), F.max("more").alias("more"))
+    cells = dealt.join(rows.select("_k", "bands", "sketch"), "_k").repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "_k")
+    return cells.mapInArrow(run, PAIRS_OF)
+
+
+def record(cell: int, number: int, node: np.ndarray, ps: list[np.ndarray], qs: list[np.ndarray], more: bool) -> pa.RecordBatch:
+    """Some pairs of a cell's rows as one record."""
+    p, q = np.concatenate(ps), np.concatenate(qs)
+    places, at = np.unique(np.concatenate((p, q)), return_inverse=True)
+    name = int(mixed(np.array([(cell + number) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
+    columns = [pa.array([name]), pa.array([node[places]], pa.list_(pa.int64())), pa.array([at[: len(p)].astype(np.int32)], pa.list_(pa.int32())), pa.array([at[len(p) :].astype(np.int32)], pa.list_(pa.int32())), pa.array([more])]
+    return pa.RecordBatch.from_arrays(columns, names=["cell", "members", "p", "q", "more"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) with the components of the pairs (u, v, cell) whose sets have this Jaccard similarity, as a table; sets: (_k, _s).
+    """Links (u, v) with the components of those pairs of the records whose sets have this Jaccard similarity, as a table; sets: (_k, _s).
 
-    A cell's sets come to one task once each, however many pairs they are in. A
-    pair that verified links of the cell connect already isn't tested.
+    A record's sets come to one task once each, however many pairs they are in. A
+    pair that verified links of the record connect already isn't tested.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in grouped(batches, "cell"):
-            u, v = got.column("u").to_numpy(), got.column("v").to_numpy(zero_copy_only=False)
-            bodies = got.column("_s")
-            is_set = np.array(bodies.is_valid())
-            place = {int(u[i]): n for n, i in enumerate(np.flatnonzero(is_set))}
-            held = [np.frombuffer(b, np.uint64) for b in bodies.drop_null().to_pylist()]
-            forest, out = Forest(len(held)), []
-            for i in np.flatnonzero(~is_set):
-                a, b = place[int(u[i])], place[int(v[i])]
-                x, y = held[a], held[b]
-                if len(x) > len(y):
-                    x, y = y, x
-                if len(x) < similarity * len(y):
-                    continue
-                ends = forest.find(np.array([a, b]))
-                if ends[0] == ends[1]:
-                    continue
-                common = int((y[np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))] == x).sum()) if len(x) else 0
-                if common >= similarity * (len(x) + len(y) - common):
-                    forest.link(np.array([a]), np.array([b]))
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(u[out].astype(np.int64)), pa.array(v[out].astype(np.int64))], names=["u", "v"])
+            is_set = np.array(got.column("_s").is_valid())
+            held = {k: np.frombuffer(b, np.uint64) for k, b in zip(got.column("_k").to_pylist(), got.column("_s").to_pylist()) if b is not None}
+            for row in np.flatnonzero(~is_set).tolist():
+                members, p, q = (got.column(c)[row].values.to_numpy() for c in ("members", "p", "q"))
+                own = [held[k] for k in members.tolist()]
+                forest, out = Forest(len(own)), []
+                for i, (a, b) in enumerate(zip(p.tolist(), q.tolist())):
+                    x, y = own[a], own[b]
+                    if len(x) > len(y):
+                        x, y = y, x
+                    if len(x) < similarity * len(y) or forest.one(a) == forest.one(b):
+                        continue
+                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+                    if common >= similarity * (len(x) + len(y) - common):
+                        forest.parent[max(forest.one(a), forest.one(b))] = min(forest.one(a), forest.one(b))
+                        out.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(members[p[out]]), pa.array(members[q[out]])], names=["u", "v"])
 
     spark = pairs.sparkSession
-    members = pairs.select("cell", F.explode(F.array("u", "v")).alias("_k")).distinct()
-    whole = members.join(sets, "_k").select("cell", F.col("_k").alias("u"), F.lit(0).cast("bigint").alias("v"), "_s")
-    both = whole.union(pairs.select("cell", "u", "v", F.lit(None).cast("binary")))
+    none = lambda kind: F.lit(None).cast(kind)
+    members = pairs.select("cell", F.explode("members").alias("_k"))
+    whole = members.join(sets, "_k").select("cell", "_k", "_s", none("array<bigint>").alias("members"), none("array<int>").alias("p"), none("array<int>").alias("q"))
+    both = whole.union(pairs.select("cell", none("bigint"), none("binary"), "members", "p", "q"))
     return materialize(both.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(run, "u bigint, v bigint"), "links")
 
 
@@ -399,7 +430,7 @@ def similar_components(keyed: DataFrame, shingle: int, similarity: float) -> Dat
     ends = spread.groupBy("key").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi").select("key")
     buckets = materialize(spread.join(ends, "key", "left_semi").select("key", "_k", "n").distinct(), "buckets")
     some = buckets.select("_k").distinct()
-    sketches = materialize(rows.select("_k", "n", "sketch").join(some, "_k", "left_semi").dropDuplicates(["_k"]), "sketches")
+    sketches = materialize(rows.select("_k", "n", "bands", "sketch").join(some, "_k", "left_semi").dropDuplicates(["_k"]), "sketches")
     sets = materialize(shingle_sets(keyed.join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
     discard(rows)
     pairs = materialize(hub_pairs(buckets, sketches, similarity), "pairs")
@@ -411,7 +442,7 @@ def similar_components(keyed: DataFrame, shingle: int, similarity: float) -> Dat
         pairs = materialize(open_pairs(buckets, roots, sketches, similarity, most), "pairs")
         n, more = pairs.agg(F.count("*"), F.max("more")).first()
         if n:
-            links = verified(pairs.select("u", "v", "cell"), sets, similarity)
+            links = verified(pairs, sets, similarity)
             before, roots = roots, connected_components(roots.select("u", F.col("root").alias("v")).union(links))
             discard(links, before)
         discard(pairs)

@@ -198,8 +198,9 @@ def test_near_duplicates_that_only_a_base_links(spark, monkeypatch, cell, first)
 
 def test_hot_buckets_that_are_connected_reach_no_task(spark):
     """Of 3,000 rows in one bucket and 4 in another, only those in different components are compared, each pair of them."""
-    rows = spark.range(3004).select(F.col("id").alias("_k"), F.lit(7).alias("n"), F.lit(bytes(simhash.BINS)).alias("sketch"))
+    rows = spark.range(3004).select(F.col("id").alias("_k"), F.lit(7).alias("n"), F.lit(bytes(simhash.BINS)).alias("sketch"), F.array(F.when(F.col("id") < 3000, 1).otherwise(2).cast("bigint")).alias("bands"))
     buckets = rows.select(F.when(F.col("_k") < 3000, 1).otherwise(2).cast("bigint").alias("key"), "_k", "n")
     roots = rows.where("_k < 3000").select(F.col("_k").alias("u"), F.lit(0).cast("bigint").alias("root"))
     got = simhash.open_pairs(buckets, roots, rows, 0.8, 16).collect()
-    assert sorted((r["u"], r["v"]) for r in got) == [(a, b) for a in range(3001, 3004) for b in range(3000, a)] and not any(r["more"] for r in got)
+    pairs = [tuple(sorted((r["members"][p], r["members"][q]), reverse=True)) for r in got for p, q in zip(r["p"], r["q"])]
+    assert sorted(pairs) == [(a, b) for a in range(3001, 3004) for b in range(3000, a)] and not any(r["more"] for r in got)
