@@ -267,16 +267,20 @@ def merged_spans(places: DataFrame) -> DataFrame:
 
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups:
-            out = []
-            for got in batch.column("_p").to_pylist():
-                spans: list[dict] = []
-                for a, b in sorted((x["start"], x["end"]) for x in got):
-                    if spans and a <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(spans[-1]["end"], b)
-                    else:
-                        spans.append({"start": a, "end": b})
-                out.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["_k", "spans"])
+            lists = batch.column("_p")
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            start, end = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "end"))
+            order = np.lexsort((start, row))
+            row, start, end = row[order], start[order], end[order]
+            # Each text in a range of numbers of its own, so that the last end so far is a running maximum.
+            apart = row * (int(end.max()) + 1) if len(end) else row
+            far = np.maximum.accumulate(end + apart)
+            first = np.flatnonzero(np.concatenate(([True], (start + apart)[1:] > far[:-1]))) if len(row) else row
+            last = np.concatenate((first[1:] - 1, [len(row) - 1])) if len(row) else row
+            spans = pa.StructArray.from_arrays([pa.array(start[first]), pa.array((far - apart)[last])], names=["start", "end"])
+            offsets = np.searchsorted(row[first], np.arange(len(lists) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.ListArray.from_arrays(pa.array(offsets), spans)], names=["_k", "spans"])
 
     return places.groupBy("_k").agg(F.collect_list(F.struct("start", "end")).alias("_p")).mapInArrow(run, "_k bigint, spans array<struct<start:bigint,end:bigint>>")
 
@@ -287,16 +291,15 @@ def window_rows(docs: DataFrame, wanted: DataFrame, words: bool, length: int) ->
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups:
             texts = units_of([t.encode() for t in batch.column("_t").to_pylist()], words)
-            for key, data, ranges in zip(batch.column("_k").to_pylist(), texts, batch.column("_w").to_pylist()):
-                prefix = prefix_hashes(data)
-                size = np.array([r["count"] for r in ranges])
-                at = np.concatenate([np.arange(r["first"], r["first"] + r["count"]) for r in ranges])
-                lo, hi = (np.repeat(np.array([r[c] for r in ranges], np.int64), size) for c in ("lo", "hi"))
-                h = span_hashes(prefix, at, at + length)
-                columns = [h.view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int32), lo, hi]
+            for i, (key, data) in enumerate(zip(batch.column("_k").to_pylist(), texts)):
+                ranges = batch.column("_w")[i].values
+                first, size, lo, hi = (ranges.field(c).to_numpy() for c in ("first", "count", "lo", "hi"))
+                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                h = span_hashes(prefix_hashes(data), at, at + length)
+                columns = [h.view(np.int64), np.full(len(at), key, np.int64), at.astype(np.int32), np.repeat(lo, size), np.repeat(hi, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "_k", "start", "lo", "hi"])
 
-    ranges = wanted.groupBy("_k").agg(F.collect_set(F.struct("first", "count", "lo", "hi")).alias("_w"))
+    ranges = wanted.groupBy("_k").agg(F.collect_list(F.struct("first", "count", "lo", "hi")).alias("_w"))
     return docs.join(ranges, "_k").select("_k", "_t", "_w").mapInArrow(run, "hash bigint, _k bigint, start int, lo bigint, hi bigint")
 
 
@@ -357,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     texts = keyed.select("_k", "_t")
     spans = repeated_spans(texts, False, length, reach, min(GRAM, length - reach + 1), batches)
     reach = max(1, min(PASSAGE_REACH, passage * 4 // 5))
-    shared = repeated_spans(texts, True, passage, reach, min(PASSAGE_GRAM, passage - reach + 1), batches)
+    shared = repeated_spans(texts, True, passage, reach, min(PASSAGE_GRAM, passage - reach + 1), 1)
     both = spans.select("_k", "spans", F.lit(None).cast(shared.schema["spans"].dataType).alias("shared")).union(shared.select("_k", F.lit(None).cast(spans.schema["spans"].dataType), "spans"))
     found = both.groupBy(F.col("_k").alias("_k2")).agg(F.first("spans", True).alias("spans"), F.first("shared", True).alias("shared"))
     joined = keyed.join(found, F.col("_k") == F.col("_k2"), "left")
