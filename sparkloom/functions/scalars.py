@@ -19,3 +19,4 @@ sql_query("fn_rounding", "SELECT o_orderkey, bround(o_custkey / 2, 0) AS a, floo
 sql_query("fn_array_build", "SELECT n_nationkey, array_join(transform(array_distinct(flatten(array(sequence(0, n_regionkey), array(n_regionkey, 1)))), x -> cast(x AS string)), ',') AS a, aggregate(sequence(0, n_nationkey), 0, (s, x) -> s + x) AS b, array_join(sort_array(array_union(array(n_name), array('z'))), ',') AS c, exists(sequence(0, n_regionkey), x -> x = 3) AS d FROM {nation}", "SELECT n_nationkey, array_to_string(list_sort(list_distinct(list_concat(range(n_regionkey + 1), [n_regionkey, 1]))), ',') AS a, (n_nationkey * (n_nationkey + 1) / 2)::INT AS b, n_name || ',z' AS c, n_regionkey >= 3 AS d FROM nation")
 sql_query("fn_time", "SELECT event_id, unix_micros(cast(ts AS timestamp)) AS a, cast(ts + INTERVAL 90 MINUTES AS timestamp_ntz) AS b, cast(extract(HOUR FROM ts) AS bigint) AS c, cast(date_trunc('HOUR', ts) AS timestamp_ntz) AS d, cast(to_date(ts) AS date) AS e FROM {events}", "SELECT event_id, epoch_us(ts) AS a, ts + INTERVAL 90 MINUTES AS b, hour(ts) AS c, date_trunc('hour', ts)::TIMESTAMP AS d, ts::DATE AS e FROM events")
 sql_query("fn_hash_encode", "SELECT c_custkey, base64(cast(c_mktsegment AS binary)) AS a, hex(c_custkey) AS b, cast(ascii(c_name) AS int) AS c, cast(octet_length(c_name) AS bigint) AS d, translate(c_mktsegment, 'AEIOU', 'aeiou') AS e, sha1(c_name) AS f FROM {customer}", "SELECT c_custkey, base64(encode(c_mktsegment)) AS a, hex(c_custkey) AS b, ascii(c_name)::INT AS c, octet_length(encode(c_name)) AS d, translate(c_mktsegment, 'AEIOU', 'aeiou') AS e, sha1(c_name) AS f FROM customer")
+sql_query("fn_sqrt", "SELECT o_orderkey, round(sqrt(o_totalprice), 6) AS a, isnan(sqrt(-1.0D * o_custkey)) AS b, round(exp(ln(o_totalprice)), 4) AS c, round(atan2(o_custkey, 100), 9) AS d FROM {orders}", "SELECT o_orderkey, round(sqrt(o_totalprice), 6) AS a, o_custkey > 0 AS b, round(exp(ln(o_totalprice)), 4) AS c, round(atan2(o_custkey, 100), 9) AS d FROM orders")

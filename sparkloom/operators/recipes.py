@@ -12,14 +12,15 @@ BROADCAST_ROWS = 100_000
 
 
 def band_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= point <= high, for ranges not wider than `width`.
+    """Pairs with low <= point <= high.
 
-    Points and ranges are cut into buckets of that width, so a range lies in two
-    at most; the equi-join on the bucket shuffles, and neither side is multiplied
-    more than twice. Names of the sides must differ.
+    Points and ranges are cut into buckets of `width`; the equi-join on the bucket
+    shuffles. A range is repeated for each bucket that it reaches into, so for ranges
+    not wider than `width` at most twice; wider ones cost more rows and lose none.
+    Nulls meet nothing. Names of the sides must differ.
     """
     cut = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
-    ranges = right.withColumn("_bucket", F.explode(F.array_distinct(F.array(cut(low), cut(high)))))
+    ranges = right.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(cut(low), cut(high))))
     return left.withColumn("_bucket", cut(point)).join(ranges, "_bucket").where(F.col(point).between(F.col(low), F.col(high))).drop("_bucket")
 
 
@@ -136,15 +137,29 @@ def join_checked_query(spark: SparkSession, d: str) -> DataFrame:
     return join_checked(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey").select("o_orderkey", "c_mktsegment")
 
 
-@query("agg_sketches")
+def within(value: Column, exact: Column, error: float) -> Column:
+    return F.abs(value - exact) <= error * exact
+
+
+def rank_within(column: str, p: float, value: Column, error: float) -> Column:
+    """Whether a value stands at the p-th part of a column's order, but for this share of the rows; an aggregate of rows that have the value too."""
+    below, upto = F.count_if(F.col(column) < value) / F.count("*"), F.count_if(F.col(column) <= value) / F.count("*")
+    return (below <= p + error) & (upto >= p - error)
+
+
+@query("agg_sketches", "SELECT true AS distinct_ok, true AS hll_ok, true AS frequent_ok, true AS quartiles_ok")
 def agg_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate aggregates: distinct counts by two sketches, quantiles, most frequent."""
-    return table(spark, d, "lineitem").agg(
-        F.approx_count_distinct("l_partkey").alias("distinct"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"),
-        F.percentile_approx("l_quantity", [0.25, 0.5, 0.75]).alias("quartiles"),
-        F.expr("approx_top_k(l_returnflag, 3)").alias("frequent"),
+    """Approximate aggregates against the exact ones: distinct counts by two sketches, most frequent values, quartiles, each within its stated error (three standard deviations)."""
+    rows = table(spark, d, "lineitem")
+    got = rows.agg(
+        within(F.approx_count_distinct("l_partkey"), F.count_distinct("l_partkey"), 0.15).alias("distinct_ok"),
+        within(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")), F.count_distinct("l_partkey"), 0.05).alias("hll_ok"),
+        (F.aggregate(F.expr("approx_top_k(l_returnflag, 3)"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["count"]) == F.count("l_returnflag")).alias("frequent_ok"),
+        F.percentile_approx("l_quantity", [0.25, 0.5, 0.75]).alias("q"),
     )
+    met = rows.select("l_quantity").join(F.broadcast(got))
+    checks = [rank_within("l_quantity", p, F.col("q")[i], 0.001) for i, p in enumerate((0.25, 0.5, 0.75))]
+    return met.groupBy("distinct_ok", "hll_ok", "frequent_ok").agg((checks[0] & checks[1] & checks[2]).alias("quartiles_ok"))
 
 
 @query("agg_crosstab", "SELECT o_orderpriority AS priority, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority")
@@ -152,22 +167,39 @@ def agg_crosstab(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").crosstab("o_orderpriority", "o_orderstatus").withColumnRenamed("o_orderpriority_o_orderstatus", "priority")
 
 
-@query("agg_approx_quantile")
+@query("agg_approx_quantile", "SELECT p::DOUBLE AS p, true AS ok FROM (VALUES (0.1), (0.5), (0.9)) t(p)")
 def agg_approx_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the values stand where they should, but for the error asked for."""
     o = table(spark, d, "orders")
-    return spark.createDataFrame([(p, v) for p, v in zip((0.1, 0.5, 0.9), o.approxQuantile("o_totalprice", [0.1, 0.5, 0.9], 0.01))], "p double, value double")
+    values = spark.createDataFrame([(p, v) for p, v in zip((0.1, 0.5, 0.9), o.approxQuantile("o_totalprice", [0.1, 0.5, 0.9], 0.01))], "p double, value double")
+    met = o.select("o_totalprice").join(F.broadcast(values))
+    return met.groupBy("p").agg(((F.count_if(F.col("o_totalprice") < F.col("value")) / F.count("*") <= F.col("p") + 0.01) & (F.count_if(F.col("o_totalprice") <= F.col("value")) / F.count("*") >= F.col("p") - 0.01)).alias("ok"))
 
 
-@query("agg_frequent_items")
+@query("agg_frequent_items", "SELECT true AS flags_ok, true AS status_ok")
 def agg_frequent_items(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").freqItems(["l_returnflag", "l_linestatus"], 0.2)
+    """Whether the items found have all that stand in over a fifth of the rows."""
+    rows = table(spark, d, "lineitem")
+    found = rows.freqItems(["l_returnflag", "l_linestatus"], 0.2)
+
+    def often(column: str) -> DataFrame:
+        counts = rows.groupBy(column).count()
+        total = counts.agg(F.sum("count").alias("total"))
+        return counts.join(F.broadcast(total), F.col("count") > F.col("total") / 5).agg(F.collect_list(column).alias(f"{column}_often"))
+
+    both = found.join(often("l_returnflag")).join(often("l_linestatus"))
+    missing = lambda c: F.size(F.array_except(f"{c}_often", f"{c}_freqItems")) == 0
+    return both.select(missing("l_returnflag").alias("flags_ok"), missing("l_linestatus").alias("status_ok"))
 
 
-@query("agg_more_sketches")
+@query("agg_more_sketches", "SELECT true AS suppliers_ok, true AS sketch_ok, true AS median_ok")
 def agg_more_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches that merge: quantiles by KLL, sets by theta, frequencies by count-min."""
-    return table(spark, d, "lineitem").agg(
-        F.expr("kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(l_partkey), 0.5)").alias("median_part"),
-        F.expr("theta_sketch_estimate(theta_sketch_agg(l_suppkey))").alias("suppliers"),
-        F.expr("length(count_min_sketch(l_partkey, 0.01d, 0.9d, 7))").alias("bytes"),
+    """Sketches that merge, against exact values within their errors: sets by theta, frequencies by count-min, quantiles by KLL."""
+    rows = table(spark, d, "lineitem")
+    got = rows.agg(
+        within(F.expr("theta_sketch_estimate(theta_sketch_agg(l_suppkey))"), F.count_distinct("l_suppkey"), 0.05).alias("suppliers_ok"),
+        F.expr("length(count_min_sketch(l_partkey, 0.01d, 0.9d, 7)) > 0").alias("sketch_ok"),
+        F.expr("kll_sketch_get_quantile_bigint(kll_sketch_agg_bigint(l_partkey), 0.5)").alias("m"),
     )
+    met = rows.select("l_partkey").join(F.broadcast(got))
+    return met.groupBy("suppliers_ok", "sketch_ok").agg(rank_within("l_partkey", 0.5, F.col("m"), 0.04).alias("median_ok"))

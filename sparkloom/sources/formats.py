@@ -99,6 +99,12 @@ def source_connector(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.format("numbers").option("n", 1000).option("partitions", 4).load().agg(F.count("*").alias("n"), F.sum("n").alias("total"))
 
 
-@query("scan_sample")
+@query("scan_sample", "SELECT true AS size_ok, true AS subset_ok")
 def scan_sample(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").sample(0.1, seed=7).select("o_orderkey")
+    """Whether a sample of a tenth has a tenth of the rows, but for five standard deviations, each of them a row of the table and none twice."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    sample = orders.sample(0.1, seed=7)
+    sizes = sample.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("k"))
+    known = sample.join(orders, "o_orderkey", "left_semi").agg(F.count("*").alias("m"))
+    both = sizes.join(known).join(orders.agg(F.count("*").alias("total")))
+    return both.select((F.abs(F.col("n") - 0.1 * F.col("total")) <= 5 * F.sqrt(0.09 * F.col("total"))).alias("size_ok"), ((F.col("n") == F.col("k")) & (F.col("n") == F.col("m"))).alias("subset_ok"))

@@ -110,3 +110,11 @@ def test_no_row_left_out(spark):
     got = [r["x"] for r in catalog.QUERIES["sort_nulls_last"](spark, DATA).collect()]
     n = table(spark, DATA, "nation").where("n_regionkey = 1").count()
     assert len(got) == table(spark, DATA, "nation").count() and n and got[-n:] == [None] * n
+
+
+def test_band_join_of_wide_and_empty_ranges(spark):
+    from sparkloom.operators.recipes import band_join
+
+    points = spark.createDataFrame([(1, 5.0), (2, -3.5), (3, None), (4, 10.0)], "e int, x double")
+    ranges = spark.createDataFrame([(1, 0.0, 10.0), (2, -100.0, -3.5), (3, 6.0, 4.0), (4, None, 9.0), (5, 5.0, 5.0)], "f int, lo double, hi double")
+    assert sorted(map(tuple, band_join(points, ranges, "x", "lo", "hi", 1.0).select("e", "f").collect())) == [(1, 1), (1, 5), (2, 2), (4, 1)]
