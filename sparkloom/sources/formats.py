@@ -15,9 +15,11 @@ _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a folder of this process's own where that is unset; deleted at the end."""
+    """A new path in spark.checkpoint.dir, or, in local mode alone, in a folder of this process's own where that is unset; deleted at the end."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
         root = _OWN[0]
