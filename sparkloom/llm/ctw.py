@@ -387,7 +387,9 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, fold: tuple[int, int] = (7,
     they are scored, not learnt. A null id has the crc of the empty text. A null
     text is empty: one token, the end. Repeated rows are learnt as often. Without
     training rows every bit costs one bit. The score counts the end as a byte, and
-    so does bits_per_byte. Other columns are not read.
+    so does bits_per_byte. Texts of any length are learnt and scored whole. Other
+    columns are not read, whatever their names; an empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     bounded_arrow(spark)

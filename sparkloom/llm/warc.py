@@ -83,7 +83,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     of REVISIT_BYTES or more, those with the largest id are responses and the
     others revisits; a null id is the largest only if there is no other. Rows
     repeated with the same id are records of their own, of the same type. A null
-    url is left out of the record. Other columns are not read.
+    url is left out of the record. A payload may be of any length that a row can
+    have; one record at a time is held whole. Other columns are not read, whatever
+    their names; an empty table writes no archive and has an empty index.
     """
     bounded_arrow(pages.sparkSession)
 
