@@ -68,17 +68,18 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if text_col in carry:
         ranged = salted_rows(keyed.drop("_n")).repartitionByRange(shuffle_partitions(spark), "_p", "_h", "_s").withColumn("_n", normalised(F.col(f"_c_{text_col}")))
     kept_columns = [f"_c_{c}" for c in carry]
-    key = ["_p", "_h", "_s"]
+    # _is_hot follows from the hash; as a part of the key its filter below reaches the scan.
+    key = ["_p", "_h", "_s", "_is_hot"]
     by_content = Window.partitionBy(*key).orderBy(F.col("_n"), F.col("_id").asc_nulls_last())
     runs = (
         ranged.withColumn("_q", F.row_number().over(by_content))
         .withColumn("_new", F.when(F.lag("_n").over(by_content) == F.col("_n"), 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(by_content))
     )
-    digests = runs.select("_id", *key, "_is_hot", "_q", "_run", F.sha2(F.encode("_n", "UTF-8"), 256).alias("_d"), *kept_columns)
+    digests = runs.select("_id", *key, "_q", "_run", F.sha2(F.encode("_n", "UTF-8"), 256).alias("_d"), *kept_columns)
     in_run = Window.partitionBy(*key, "_run").orderBy("_q")
     whole = in_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = digests.select("_id", *key, "_is_hot", "_d", F.first("_id").over(whole).alias("_k"), F.count(F.lit(1)).over(whole).alias("_c"), F.row_number().over(in_run).alias("_r"), *kept_columns)
+    local = digests.select("_id", *key, "_d", F.first("_id").over(whole).alias("_k"), F.count(F.lit(1)).over(whole).alias("_c"), F.row_number().over(in_run).alias("_r"), *kept_columns)
     if hot is not None:
         heads = local.where(F.col("_is_hot") & (F.col("_r") == 1))
         # A row for each hot text: HOT_KEYS at most, and few more for hashes that texts share.
