@@ -12,9 +12,10 @@ length.
 
 All counts follow from those of strings of DEPTH + 1 bytes. Each task counts its
 own texts' strings, with those of held-out texts at zero, and counts are summed by
-string. The tree is built by subtree: all strings whose nearest two context bytes
-are the same stand in one task, and need from outside only what lies above, sums
-by nearest byte, of which there are 256 times 255 at most. Each string then has a
+string. The tree is built by subtree: all strings whose nearest three context bytes
+are the same stand in one task; the sums that they send upward make the nodes of
+their two nearest bytes, a table that comes back to the tasks below, and those of
+the nearest byte, of which there are 256 times 255 at most. Each string then has a
 code length, and a text's score is a lookup of its strings.
 
 All executors read the tables of strings and words if these have at most
@@ -32,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Shared, bounded_arrow, materialize, scratch_path, shuffle_partitions, write_table
+from sparkloom.llm.common import Shared, bounded_arrow, discard, materialize, scratch_path, shuffle_partitions, write_table
 from sparkloom.llm.decontaminate import chunks
 from sparkloom.llm.rolling import BASE, runs, word_hashes
 
@@ -44,6 +45,7 @@ BROADCAST_ROWS, BLOCK_BYTES = 8_000_000, 32 << 20
 #: New entries that a task holds before it folds them into its sums.
 FOLD = 800_000
 LOG_HALF = np.log(0.5)
+NODE_COLUMNS = ("node", "n0", "n1", "below")
 SPACE_BYTE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
@@ -182,19 +184,18 @@ def parts(keys: np.ndarray, depth: int, most: int = 200_000) -> Iterator[tuple[i
         yield begin, len(keys)
 
 
-def second(keys: np.ndarray, count: np.ndarray, depth: int) -> Nodes:
-    """Nodes of depth 2, all bits."""
+def second(keys: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """For nodes of depth 2, all bits: what these keys, whole subtrees of depth 3, add to zeros, ones and the children's weighted probabilities."""
     got = []
     for a, b in parts(keys, depth):
         for bit in range(8):
             got.append(subtrees(keys[a:b], count[a:b], depth, bit)[-1][0].sums())
-    return Nodes(*summed(*(np.concatenate([g[i] for g in got]) for i in range(4))))
+    return summed(*(np.concatenate([g[i] for g in got]) for i in range(4)))
 
 
-def log10_of(keys: np.ndarray, count: np.ndarray, depth: int, first: Nodes, root: Nodes) -> np.ndarray:
-    """log10 of each key's byte after its context. keys: sorted, with all of a subtree of depth 2."""
+def log10_of(keys: np.ndarray, count: np.ndarray, depth: int, upper: Nodes, first: Nodes, root: Nodes) -> np.ndarray:
+    """log10 of each key's byte after its context. keys: sorted, whole subtrees of depth 3; upper: the nodes of depth 2 above them."""
     out = np.zeros(len(keys))
-    upper = second(keys, count, depth)
     for a, b in parts(keys, depth):
         k = keys[a:b]
         byte = k & 255
@@ -359,25 +360,44 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 def code_lengths(strings: DataFrame, depth: int) -> DataFrame:
     """strings (value, n): (value, code), the log10 of each string's last byte after its context, in single precision."""
     spark = strings.sparkSession
-    near = F.shiftright("value", 8 * (depth - 1))
-    dealt = strings.select("value", "n").repartition(shuffle_partitions(spark), near)
+    n = shuffle_partitions(spark)
+    near = F.shiftright("value", 8 * (depth - 2)).alias("near")
+    dealt = strings.select("value", "n", near)
 
     def upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, n = _whole(batches)
+        value, count = _whole(batches)
         if len(value):
-            yield from _rows(dict(zip(("node", "n0", "n1", "below"), second(value, n, depth).sums())))
+            yield from _rows(dict(zip(NODE_COLUMNS, second(value, count, depth))))
 
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _rows(dict(zip(NODE_COLUMNS, Nodes(*(batch.column(c).to_numpy() for c in NODE_COLUMNS)).sums())))
+
+    kinds = "node bigint, n0 double, n1 double, below double"
+    total = [F.sum(c).alias(c) for c in NODE_COLUMNS[1:]]
+    # A row for each two nearest bytes and bits: 65,536 times 255 at most, so they stay a table.
+    upper = materialize(dealt.repartition(n, "near").mapInArrow(upward, kinds).groupBy("node").agg(*total), "nodes")
     # A row for each nearest byte and bits: 256 times 255 at most.
-    rows = dealt.mapInArrow(upward, "node bigint, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).orderBy("node").toPandas()
-    first = Nodes(*(rows[c].to_numpy() for c in ("node", "n0", "n1", "below")))
+    rows = upper.mapInArrow(further, kinds).groupBy("node").agg(*total).orderBy("node").toPandas()
+    first = Nodes(*(rows[c].to_numpy() for c in NODE_COLUMNS))
     root = Nodes(*first.sums())
 
     def downward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, n = _whole(batches)
+        held = list(batches)
+        got = [b.filter(b.column("node").is_valid()) for b in held]
+        value, count = _whole(b.filter(b.column("value").is_valid()) for b in held)
         if len(value):
-            yield from _rows({"value": value, "code": log10_of(value, n, depth, first, root).astype(np.float32)})
-
-    return materialize(dealt.mapInArrow(downward, "value bigint, code float"), "codes")
+            columns = [np.concatenate([b.column(c).to_numpy() for b in got]) for c in NODE_COLUMNS]
+            _, at = np.unique(columns[0], return_index=True)
+            above = Nodes(*(c[at] for c in columns))
+            yield from _rows({"value": value, "code": log10_of(value, count, depth, above, first, root).astype(np.float32)})
+
+    # Each group of strings with the nodes above it.
+    above = dealt.select("near").distinct().join(upper, F.shiftright("near", 8) == F.shiftright("node", 8)).select("near", F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("bigint").alias("n"), *NODE_COLUMNS)
+    both = dealt.select("near", "value", "n", F.lit(None).cast("bigint").alias("node"), *[F.lit(None).cast("double").alias(c) for c in NODE_COLUMNS[1:]]).union(above)
+    codes = materialize(both.repartition(n, "near").mapInArrow(downward, "value bigint, code float"), "codes")
+    discard(upper)
+    return codes
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH, fold: tuple[int, int] = (7, 2), id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

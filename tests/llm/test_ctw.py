@@ -118,6 +118,7 @@ def test_it_is_a_distribution():
     every = np.unique(np.concatenate((keys, (context << 8) + np.arange(256))))
     v, n = ctw.tallied(keys)
     count = np.where(np.isin(every, v), n[np.minimum(np.searchsorted(v, every), len(v) - 1)], 0)
-    first = ctw.Nodes(*ctw.second(every, count, 3).sums())
-    p = 10 ** ctw.log10_of(every, count, 3, first, ctw.Nodes(*first.sums()))
+    upper = ctw.Nodes(*ctw.second(every, count, 3))
+    first = ctw.Nodes(*upper.sums())
+    p = 10 ** ctw.log10_of(every, count, 3, upper, first, ctw.Nodes(*first.sums()))
     assert p[every >> 8 == context].sum() == pytest.approx(1)
