@@ -34,7 +34,9 @@ TRAIN_DOCS, TRAIN_BYTES = 4000, 16 << 10
 WINDOW, STRIDE = 32, 8
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 1 << 16, 4, 4, 16, 8
 GRAMS = (3, 4, 5)
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
+#: Windows that the network reads at once: their states take 8 MB, so that two workers of an executor stay small beside its heap.
+SLICE = 1024
 BATCH, ROUNDS, STEPS, RATE = 64, 8, 1000, 0.01
 #: Windows that a clean text is taught by in each round, for all of theirs are clean; a toxic text is by one.
 CLEAN_WINDOWS = 3
@@ -128,7 +130,7 @@ def window_logits(words: Words, net: dict[str, np.ndarray]) -> tuple[np.ndarray,
         parts = [(x @ net[f"w{d}"] + net[f"b{d}"]).astype(np.float32) for d in "fb"]
         for size in np.unique(length):
             own = np.flatnonzero(length == size)
-            for some in (own[i : i + 8192] for i in range(0, len(own), 8192)):
+            for some in (own[i : i + SLICE] for i in range(0, len(own), SLICE)):
                 of = [words.of[start[some] + t] for t in range(size)]
                 ahead = read([parts[0][o] for o in of], net["uf"], net["cf"])
                 back = read([parts[1][o] for o in reversed(of)], net["ub"], net["cb"])
