@@ -100,7 +100,10 @@ def stream_append(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_state", "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY user_id")
 def stream_state(spark: SparkSession, d: str) -> DataFrame:
     """Arbitrary state per user: a count and a maximum, in update mode; of each user the last row."""
+    return largest_by_user(stream(spark, d))
 
+
+def largest_by_user(rows: DataFrame) -> DataFrame:
     def step(key: tuple, parts, state: GroupState):
         n, top = state.get if state.exists else (0, float("-inf"))
         for p in parts:
@@ -108,10 +111,65 @@ def stream_state(spark: SparkSession, d: str) -> DataFrame:
         state.update((n, top))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "top": [top]})
 
-    got = stream(spark, d).select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, top double", "n bigint, top double", "update", GroupStateTimeout.NoTimeout)
+    got = rows.select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, top double", "n bigint, top double", "update", GroupStateTimeout.NoTimeout)
     return finished(got, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("top").alias("top"))
 
 
+#: File of an event in arrivals(): a twentieth of the events come a file late, a twentieth three; the files are in order of arrival.
+ARRIVAL = "cast(floor((day(ts) - 1) / 10) AS int) + CASE event_id % 20 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END"
+
+
+def arrivals(spark: SparkSession, d: str, copies: int = 1) -> DataFrame:
+    """events as a stream of several micro-batches, a file each, with a watermark of an hour; further copies of an event come in the files after its own."""
+    out = scratch(spark, "arrivals")
+    rows = table(spark, d, "events").withColumn("file", F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda c: F.expr(ARRIVAL) + c)))
+    rows.repartition("file").write.partitionBy("file").parquet(out)
+    # The source takes files by their time of change.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in store.listStatus(hadoop):
+        if folder.isDirectory():
+            number = int(folder.getPath().getName().split("=")[1])
+            for file in store.listStatus(folder.getPath()):
+                store.setTimes(file.getPath(), 1_700_000_000_000 + 60_000 * number, -1)
+    raw = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/file=*")
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+
+
+@query(
+    "stream_batches_late",
+    f"""WITH a AS (SELECT *, {ARRIVAL} AS f FROM events),
+    low AS (SELECT f, (SELECT max(ts) FROM a WHERE a.f < x.f - 1) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT f FROM a) x)
+    SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM a JOIN low USING (f)
+    WHERE mark IS NULL OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > mark GROUP BY ALL""",
+)
+def stream_batches_late(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over six micro-batches; rows whose window the watermark of two batches before has passed are dropped, and no others."""
+    got = ends(finished(windowed(arrivals(spark, d), F.window("ts", "1 day")), "update"))
+    return got.groupBy("start", "event_type").agg(F.max("n").alias("n"))
+
+
+@query("stream_batches_dedup", "SELECT event_id, event_type FROM events")
+def stream_batches_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Each event comes in two files; its key is state from one micro-batch to the next."""
+    return finished(arrivals(spark, d, copies=2).select("event_id", "event_type").dropDuplicates(["event_id"]), "append")
+
+
+@query("stream_batches_state", "SELECT user_id, count(*) AS n, max(value) AS top FROM events GROUP BY user_id")
+def stream_batches_state(spark: SparkSession, d: str) -> DataFrame:
+    """As stream_state, with each user's state carried over six micro-batches."""
+    return largest_by_user(arrivals(spark, d))
+
+
+@query("stream_batches_join", "SELECT a.event_id AS view, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOURS WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
+def stream_batches_join(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams whose rows meet in different micro-batches; without a watermark no row is late."""
+    rows = arrivals(spark, d).select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("t"))
+    a = rows.where("event_type = 'view'").select(F.col("event_id").alias("view"), F.col("user_id").alias("u"), F.col("t").alias("from"))
+    b = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), "user_id", "t")
+    return finished(a.join(b, F.expr("u = user_id AND t BETWEEN from AND from + INTERVAL 6 HOURS")).select("view", "purchase"), "append")
+
+
 @query("stream_update", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_update(spark: SparkSession, d: str) -> DataFrame:
     """Update mode writes a window each time it changes; the largest count is the last."""
