@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -93,3 +94,51 @@ def test_gradients_against_differences():
     up["word"][row[0], 1] += 1e-2
     down["word"][row[0], 1] -= 1e-2
     assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(g[row == row[0], 1].sum(), abs=2e-3)
+
+
+def plain_score(text, net):
+    """The score by its definition: a word, a gram, a window and a step at a time, all in double precision."""
+    net = {k: v.astype(float) for k, v in net.items()}
+    s = lambda x: 1 / (1 + np.exp(-x))
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    rows = []
+    for w in words:
+        line, low = [2, *w, 3], np.full(tx.CHAR_DIM, -9.0)
+        for k in tx.GRAMS:
+            for i in range(len(line) - k + 1):
+                h = k
+                for b in line[i : i + k]:
+                    h = (h * tx.BASE + b) % 2**64
+                low = np.maximum(low, net["char"][int(tx.mixed(np.array([h], np.uint64))[0]) % tx.BUCKETS])
+        word = tx.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        rows.append(np.concatenate((net["word"][int(word) % tx.BUCKETS], low)))
+    n, best = tx.HIDDEN, None
+    starts = range(0, len(words) - tx.WINDOW, tx.STRIDE) if len(words) > tx.WINDOW else ()
+    for at in {*starts, max(len(words) - tx.WINDOW, 0)} if words else ():
+        window, states = rows[at : at + tx.WINDOW], {}
+        for d, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+            h = np.zeros(n)
+            for t in order:
+                g, q = window[t] @ net[f"w{d}"] + net[f"b{d}"], h @ net[f"u{d}"]
+                z, r = s(g[:n] + q[:n]), s(g[n : 2 * n] + q[n : 2 * n])
+                h = (1 - z) * np.tanh(g[2 * n :] + r * (q[2 * n :] + net[f"c{d}"])) + z * h
+                states[d, t] = h
+        both = np.array([np.concatenate((states["f", t], states["b", t])) for t in range(len(window))])
+        a = np.exp(np.tanh(both @ net["att"] + net["att_b"]) @ net["att_v"])
+        logit = a @ both / a.sum() @ net["out"] + net["out_b"][0]
+        best = logit if best is None else max(best, logit)
+    return s(net["out_b"][0] if best is None else best)
+
+
+def test_scores_against_brute_force(monkeypatch):
+    """Slices and chunks far smaller than a text change nothing."""
+    docs, labels = corpus(60, seed=4)
+    texts = [t.encode() for _, t, *_ in docs]
+    net = tx.train(texts[:40], np.array([y for _, y in labels[:40]]))
+    some = texts[40:] + [b"", b" \t", b"a", "É ß".encode(), b"w " * 32, b"w " * 33, (b"la Grobbel mi " * 40)]
+    want = [plain_score(t, net) for t in some]
+    assert max(want) - min(want) > 0.5
+    assert tx.document_scores(some, net) == pytest.approx(want, abs=1e-4)
+    monkeypatch.setattr(tx, "SLICE", 3)
+    monkeypatch.setattr(tx, "CHUNK_BYTES", 200)
+    assert tx.document_scores(some, net) == pytest.approx(want, abs=1e-4)
