@@ -15,8 +15,10 @@ components over all blocks come from a distributed star algorithm. A block value
 that very many fingerprints share is cut again by the same argument, on the
 remaining bits, until no bucket is large.
 
-The pipeline's stage links texts by the Jaccard similarity of their shingles
-instead: min-hashes give candidates, and the sets themselves decide.
+The pipeline's stage links texts by the Jaccard similarity of their shingles. At
+0.8 some ten of 64 bits differ, so its fingerprints are longer: texts meet in
+tables of a few bits each and stay candidates if further bits are close, and an
+exact check of the sets decides.
 """
 
 from __future__ import annotations
@@ -38,8 +40,12 @@ HOT_ROWS, CUTS, JOINED_ROWS = 20_000, 3, 1 << 18
 PAIRS = 100_000
 #: The hash's seed, which is that of Spark's xxhash64().
 SEED = 42
-#: Near-duplicates of texts meet if all ROWS min-hashes of one of BANDS bands are equal: at a similarity of 0.8, all but 1 in 7 million pairs.
-BANDS, ROWS = 30, 4
+#: Near-duplicates of texts meet if all TABLE_BITS bits of their SimHashes in one of TABLES tables are equal: at a similarity of 0.8, where 0.1515 of the bits differ, all but one in a million pairs.
+TABLES, TABLE_BITS = 96, 12
+#: Further bits of a SimHash, of which those that meet may differ in APART: at 0.8 they differ in 19.4 on average, with a standard deviation of 4.1; unrelated texts in 64.
+PRINT_BITS, APART = 128, 40
+#: Rows of tables that a task compares at once, and those of a bucket beyond which it isn't compared but passed on whole.
+MET_ROWS, MET_MOST = 1 << 18, 20_000
 #: Bins of a sketch, and those that are compared first.
 BINS, PREFIX = 512, 64
 #: Standard deviations by which the share of equal bins may fall short of the similarity.
@@ -198,25 +204,26 @@ def _joined(budget: int, top_of: dict[int, tuple[int, int]]):
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (_k, _t): (_k, n, bands, sketch), of the set of word shingles (of the whole sequence, if that is shorter).
+    """docs (_k, _t): (_k, n, bands, high, low, sketch), of the set of word shingles (of the whole sequence, if that is shorter).
 
-    n: the set's size. The set's smallest values under BANDS * ROWS hash functions
-    are equal for two sets with a chance of their Jaccard similarity each, whatever
-    the edits; bands: hashes of ROWS of them each. sketch: another hash deals the
-    set into BINS bins, with a byte of each bin's smallest value, 0 for none.
+    n: the set's size. A bit of the SimHash is set if it is set in over half of the
+    set's hashes; two sets differ in a bit with a chance of the angle between them
+    over pi, wherever the edits are. bands: its first bits as keys of TABLES tables;
+    high, low: the PRINT_BITS after these. sketch: another hash deals the set into
+    BINS bins, with a byte of each bin's smallest value, 0 for none.
     """
     from sparkloom.llm.ctw import words_of
     from sparkloom.llm.decontaminate import chunks
 
-    bands, each, bins = BANDS, ROWS, BINS
-    odd = mixed(np.arange(1, bands * each + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+    tables, each, bins = TABLES, TABLE_BITS, BINS
+    bits = tables * each + PRINT_BITS
+    steps = mixed(np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(BASE))
     shift = np.uint64(64 - (bins - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("_t").to_pylist()]
-            low = np.full((len(texts), bands * each), np.uint64(0xFFFFFFFFFFFFFFFF))
+            prints = np.zeros((len(texts), bits), bool)
             sketch = np.zeros((len(texts), bins), np.uint8)
             count = np.zeros(len(texts), np.int32)
             at = 0
@@ -229,21 +236,88 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     if n:
                         pieces = np.unique(grams[e - n : e - shingle + 1]) if n >= shingle else gram_hashes(words[e - n : e], n)
                         count[at] = len(pieces)
-                        for i in range(0, len(pieces), 256):
-                            np.minimum(low[at], (pieces[i : i + 256, None] * odd).min(axis=0), out=low[at])
+                        prints[at] = majority(pieces, steps)
                         h = np.sort(mixed(pieces ^ np.uint64(BASE)))
                         of = h >> shift
                         first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
                         sketch[at, of[first].astype(np.int64)] = (h[first] % np.uint64(254)).astype(np.uint8) + 1
                     at += 1
-            keys = np.zeros((len(texts), bands), np.uint64) + number
-            for j in range(each):
-                keys = mixed(keys * np.uint64(BASE) + low[:, j::each])
-            flat = pa.array(keys.view(np.int64).ravel(), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(texts) + 1, bands), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(count), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["_k", "n", "bands", "sketch"])
+            keys = prints[:, : tables * each].reshape(-1, tables, each) @ (1 << np.arange(each)) + (np.arange(tables) << each)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tables * len(texts) + 1, tables), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+            two = np.packbits(prints[:, tables * each :], axis=1).view(np.int64)
+            columns = [batch.column("_k"), pa.array(count), lists, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array([x.tobytes() for x in sketch], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_k", "n", "bands", "high", "low", "sketch"])
+
+    return docs.mapInArrow(run, "_k bigint, n int, bands array<bigint>, high bigint, low bigint, sketch binary")
+
+
+def majority(pieces: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The bits that over half of the pieces' hashes have, 64 for each of the steps."""
+    ones = np.zeros(64 * len(steps), np.int64)
+    for i in range(0, len(pieces), 255):  # so many that a byte counts them
+        ones += np.unpackbits(mixed(pieces[i : i + 255, None] + steps).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return 2 * ones > len(pieces)
+
+
+def close_by(key: np.ndarray, high: np.ndarray, low: np.ndarray, most: int) -> np.ndarray:
+    """Whether a row has another with its key (rows are in order of it) whose further bits differ in APART at most; of keys with over `most` rows, all count."""
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(new, len(key)))
+    start, size = np.repeat(new, size), np.repeat(size, size)
+    near = size > most
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        hit = np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j]) <= APART
+        near[i[hit]] = near[j[hit]] = True
+
+    # Around each bucket as a ring: a row that has no other yet meets the d-th after it, and the d-th before it where that has one already.
+    left, d = np.flatnonzero(size > 1), 0
+    while len(left):
+        d += 1
+        left = left[~near[left] & (2 * d <= size[left])]
+        own, first = size[left], start[left]
+        meet(left, first + (left - first + d) % own)
+        before = first + (left - first - d) % own
+        meet(left[near[before]], before[near[before]])
+    return near
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """(key, _k, n): the rows of each table's buckets that are close by another one of theirs; of a bucket of over MET_MOST, all."""
+    size, most = MET_ROWS, MET_MOST
+
+    def kept(got: pa.Table) -> pa.RecordBatch:
+        key, high, low = (got.column(c).to_numpy() for c in ("key", "high", "low"))
+        near = close_by(key, high.view(np.uint64), low.view(np.uint64), most)  # of signed values the absolute ones would be counted
+        return pa.RecordBatch.from_arrays([got.column(c).combine_chunks().filter(pa.array(near)) for c in ("key", "_k", "n")], names=["key", "_k", "n"])
 
-    return docs.mapInArrow(run, "_k bigint, n int, bands array<bigint>, sketch binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, large = [], 0, None
+        for batch in batches:
+            if large is not None:  # the rest of a large bucket
+                end = int(np.searchsorted(batch.column("key").to_numpy(), large, "right"))
+                yield batch.slice(0, end).select(["key", "_k", "n"])
+                batch, large = batch.slice(end), large if end == batch.num_rows else None
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < size:
+                continue
+            got = pa.Table.from_batches(held)
+            key = got.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield kept(got.slice(0, cut))
+            held, rows = got.slice(cut).to_batches(), rows - cut
+            if rows > most:
+                yield from (x.select(["key", "_k", "n"]) for x in held)
+                held, rows, large = [], 0, int(key[-1])
+        if rows:
+            yield kept(pa.Table.from_batches(held))
+
+    spread = rows.select(F.explode("bands").alias("key"), "_k", "n", "high", "low")
+    return spread.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "key bigint, _k bigint, n int")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -320,7 +394,7 @@ def by_size():
 def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, similarity: float, most: int) -> DataFrame:
     """buckets (key, _k): records of PAIRS_OF for the pairs of a bucket in different components whose sketches may be those of similar sets.
 
-    A pair belongs to the first band that it shares, so it comes once. Each row has
+    A pair belongs to the first table that it shares, so it comes once. Each row has
     its `most` closest such partners of a cell; more tells that it has others. A
     bucket with rows of one component only comes to no task, and a large one is
     dealt into cells of two of its parts each, so that each pair has a cell.
@@ -346,8 +420,10 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, similarity
                 if not one_part:
                     ok &= own[x, None] != own[None]
                 p, q, share = sketch_pairs(sketch[x], sketch, ok, similarity)
-                common = bands[x[p]] == bands[q]
-                first = bands[x[p], common.argmax(axis=1)] == key if len(p) else np.zeros(0, bool)
+                first = np.zeros(len(p), bool)
+                for i in range(0, len(p), 1 << 14):
+                    a, b = bands[x[p[i : i + (1 << 14)]]], bands[q[i : i + (1 << 14)]]
+                    first[i : i + (1 << 14)] = a[np.arange(len(a)), (a == b).argmax(axis=1)] == key
                 p, q, share = p[first], q[first], share[first]
                 # The closest of each row.
                 order = np.lexsort((-share, p))
@@ -417,7 +493,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_components(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """keyed (_k, _t): (u, root) of the rows that a chain of similar pairs links; the pairs are those that share a band.
+    """keyed (_k, _t): (u, root) of the rows that a chain of similar pairs links; the pairs are those whose SimHashes meet.
 
     Only pairs with a verified link ever count as connected. First each row meets
     the nearest of its buckets' smallest and largest keys, which joins groups of
@@ -426,9 +502,7 @@ def similar_components(keyed: DataFrame, shingle: int, similarity: float) -> Dat
     growing number of them a round, until no row has any left.
     """
     rows = materialize(signatures(keyed, shingle), "signatures")
-    spread = rows.select("_k", "n", F.explode("bands").alias("key"))
-    ends = spread.groupBy("key").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi").select("key")
-    buckets = materialize(spread.join(ends, "key", "left_semi").select("key", "_k", "n").distinct(), "buckets")
+    buckets = materialize(met(rows).distinct(), "buckets")
     some = buckets.select("_k").distinct()
     sketches = materialize(rows.select("_k", "n", "bands", "sketch").join(some, "_k", "left_semi").dropDuplicates(["_k"]), "sketches")
     sets = materialize(shingle_sets(keyed.join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
@@ -458,7 +532,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Rows link if the Jaccard similarity of their sets of shingles (of hashes;
     lower-cased words between white space) is `similarity` or more. Candidates are
-    found by min-hashes of these sets, see similar_components(). Texts of fewer
+    found by SimHashes of these sets, see similar_components(). Texts of fewer
     words than a shingle have one shingle, the whole sequence; texts without words
     are alike. Rows equal in id and text stay or go together; a row without an id
     stays only if its component has no id.

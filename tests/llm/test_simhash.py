@@ -204,3 +204,53 @@ def test_hot_buckets_that_are_connected_reach_no_task(spark):
     got = simhash.open_pairs(buckets, roots, rows, 0.8, 16).collect()
     pairs = [tuple(sorted((r["members"][p], r["members"][q]), reverse=True)) for r in got for p, q in zip(r["p"], r["q"])]
     assert sorted(pairs) == [(a, b) for a in range(3001, 3004) for b in range(3000, a)] and not any(r["more"] for r in got)
+
+
+def test_near_duplicates_have_simhashes(spark):
+    """Tables and further bits are those that over half of the shingles' hashes have, and differ as the angle between the sets says."""
+    r = random.Random(21)
+    texts = [[f"w{r.randrange(10**6)}" for _ in range(n)] for n in (0, 1, 4, 5, 6, 12, 300, 700)]
+    texts += [texts[-1] + [f"x{r.randrange(10**6)}" for _ in range(170)]]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "_k bigint, _t string")
+    got = sorted(simhash.signatures(rows, 5).collect())
+    sets = {x["_k"]: np.frombuffer(x["_s"], np.uint64).tolist() for x in simhash.shingle_sets(rows, 5).collect()}
+    bits = simhash.TABLES * simhash.TABLE_BITS + simhash.PRINT_BITS
+    steps = simhash.mixed(np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(simhash.BASE)).tolist()
+    whole = []
+    for x in got:
+        hashes = [b"".join(int(simhash.mixed(np.array([(p + s) % 2**64], np.uint64))[0]).to_bytes(8, "little") for s in steps) for p in sets[x["_k"]]]
+        ones = [sum(h[b // 8] >> (7 - b % 8) & 1 for h in hashes) for b in range(bits)]
+        want = [2 * n > len(hashes) for n in ones]
+        each, last = simhash.TABLE_BITS, simhash.TABLES * simhash.TABLE_BITS
+        assert x["bands"] == [(t << each) + sum(want[t * each + j] << j for j in range(each)) for t in range(simhash.TABLES)]
+        tail = np.packbits(np.array(want[last:])).tobytes()
+        assert np.array([x["high"], x["low"]], np.int64).tobytes() == tail
+        whole.append(np.array(want))
+    apart = np.arccos(len(set(sets[7]) & set(sets[8])) / (len(sets[7]) * len(sets[8])) ** 0.5) / np.pi
+    assert 0.13 < apart < 0.16 and abs((whole[7] != whole[8]).mean() - apart) < 0.04 and 0.45 < (whole[6] != whole[7]).mean() < 0.55
+
+
+@pytest.mark.parametrize("size, most", [(1 << 18, 20_000), (40, 20_000), (30, 25)])
+def test_rows_that_meet(spark, monkeypatch, size, most):
+    """A row is passed on in a bucket if another one's further bits are close, whatever the pieces; one of a large bucket always."""
+    monkeypatch.setattr(simhash, "MET_ROWS", size)
+    monkeypatch.setattr(simhash, "MET_MOST", most)
+    r = random.Random(size + most)
+    rows = []
+    for k in range(260):
+        print_ = r.choice(rows)[1] if rows and r.random() < 0.5 else r.getrandbits(128)
+        for _ in range(r.randint(0, 50)):
+            print_ ^= 1 << r.randrange(128)
+        rows.append((k, print_, [t << 12 | (0 if k % 3 == 0 else r.randrange(9)) for t in range(3)]))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(k, 5, signed(p >> 64), signed(p & (1 << 64) - 1), keys) for k, p, keys in rows], "_k bigint, n int, high bigint, low bigint, bands array<bigint>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = sorted((x["key"], x["_k"]) for x in simhash.met(table).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for key in {x for _, _, keys in rows for x in keys}:
+        own = [(k, p) for k, p, keys in rows if key in keys]
+        want |= {(key, k) for k, p in own if len(own) > most or any(j != k and (p ^ q).bit_count() <= simhash.APART for j, q in own)}
+    assert got == sorted(want) and len(want) < 780
