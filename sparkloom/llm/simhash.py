@@ -23,11 +23,11 @@ exact check of the sets decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_arrow, discard, grouped, materialize, shuffle_partitions
@@ -46,6 +46,8 @@ TABLES, TABLE_BITS = 96, 12
 PRINT_BITS, APART = 128, 40
 #: Rows of tables that a task compares at once, and those of a bucket beyond which it isn't compared but passed on whole.
 MET_ROWS, MET_MOST = 1 << 18, 20_000
+#: The same where their sketches are compared.
+ALIKE_ROWS, ALIKE_MOST = 1 << 14, 4096
 #: Bins of a sketch, and those that are compared first.
 BINS, PREFIX = 512, 64
 #: Standard deviations by which the share of equal bins may fall short of the similarity.
@@ -55,7 +57,7 @@ FIRST, FURTHER = 16, 64
 #: Rows, and shingles, of a part of a bucket; a task compares two parts at a time.
 CELL, CELL_SHINGLES = 4096, 2_000_000
 #: Pairs go as records of about this many at most: the rows that they are of, and the places of both ends among these.
-RECORD_PAIRS, PAIRS_OF = 1 << 18, "cell bigint, members array<bigint>, p array<int>, q array<int>, more boolean"
+RECORD_PAIRS, PAIRS_OF = 1 << 18, "cell bigint, key bigint, members array<bigint>, p array<int>, q array<int>, more boolean"
 BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
 
@@ -204,12 +206,12 @@ def _joined(budget: int, top_of: dict[int, tuple[int, int]]):
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs (_k, _t): (_k, n, bands, high, low, sketch), of the set of word shingles (of the whole sequence, if that is shorter).
+    """docs (_k, _t): (_k, n, bands, places, high, low, sketch), of the set of word shingles (of the whole sequence, if that is shorter).
 
     n: the set's size. A bit of the SimHash is set if it is set in over half of the
     set's hashes; two sets differ in a bit with a chance of the angle between them
     over pi, wherever the edits are. bands: its first bits as keys of TABLES tables;
-    high, low: the PRINT_BITS after these. sketch: another hash deals the set into
+    places: these bits alone, as two bytes for each table; high, low: the PRINT_BITS after these. sketch: another hash deals the set into
     BINS bins, with a byte of each bin's smallest value, 0 for none.
     """
     from sparkloom.llm.ctw import words_of
@@ -242,13 +244,14 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                         first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
                         sketch[at, of[first].astype(np.int64)] = (h[first] % np.uint64(254)).astype(np.uint8) + 1
                     at += 1
-            keys = prints[:, : tables * each].reshape(-1, tables, each) @ (1 << np.arange(each)) + (np.arange(tables) << each)
+            places = prints[:, : tables * each].reshape(-1, tables, each) @ (1 << np.arange(each))
+            keys = places + (np.arange(tables) << each)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tables * len(texts) + 1, tables), pa.int32()), pa.array(keys.ravel(), pa.int64()))
             two = np.packbits(prints[:, tables * each :], axis=1).view(np.int64)
-            columns = [batch.column("_k"), pa.array(count), lists, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array([x.tobytes() for x in sketch], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_k", "n", "bands", "high", "low", "sketch"])
+            columns = [batch.column("_k"), pa.array(count), lists, pa.array([x.tobytes() for x in places.astype(np.uint16)], pa.binary()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array([x.tobytes() for x in sketch], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_k", "n", "bands", "places", "high", "low", "sketch"])
 
-    return docs.mapInArrow(run, "_k bigint, n int, bands array<bigint>, high bigint, low bigint, sketch binary")
+    return docs.mapInArrow(run, "_k bigint, n int, bands array<bigint>, places binary, high bigint, low bigint, sketch binary")
 
 
 def majority(pieces: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -259,15 +262,15 @@ def majority(pieces: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return 2 * ones > len(pieces)
 
 
-def close_by(key: np.ndarray, high: np.ndarray, low: np.ndarray, most: int) -> np.ndarray:
-    """Whether a row has another with its key (rows are in order of it) whose further bits differ in APART at most; of keys with over `most` rows, all count."""
+def close_by(key: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> np.ndarray:
+    """Whether a row has another with its key (rows are in order of it) that the test finds close, given the places of pairs; of keys with over `most` rows, all count."""
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(new, len(key)))
     start, size = np.repeat(new, size), np.repeat(size, size)
     near = size > most
 
     def meet(i: np.ndarray, j: np.ndarray) -> None:
-        hit = np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j]) <= APART
+        hit = test(i, j)
         near[i[hit]] = near[j[hit]] = True
 
     # Around each bucket as a ring: a row that has no other yet meets the d-th after it, and the d-th before it where that has one already.
@@ -282,21 +285,20 @@ def close_by(key: np.ndarray, high: np.ndarray, low: np.ndarray, most: int) -> n
     return near
 
 
-def met(rows: DataFrame) -> DataFrame:
-    """(key, _k, n): the rows of each table's buckets that are close by another one of theirs; of a bucket of over MET_MOST, all."""
-    size, most = MET_ROWS, MET_MOST
+def close_rows(rows: DataFrame, test_of: Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]], size: int, most: int) -> DataFrame:
+    """(key, _k, n, high, low): of rows, by buckets of equal keys, those that are close by another one of theirs; of a bucket of over `most`, all. test_of: close_by()'s test for some rows; `size` are compared at once."""
+    names = ["key", "_k", "n", "high", "low"]
 
     def kept(got: pa.Table) -> pa.RecordBatch:
-        key, high, low = (got.column(c).to_numpy() for c in ("key", "high", "low"))
-        near = close_by(key, high.view(np.uint64), low.view(np.uint64), most)  # of signed values the absolute ones would be counted
-        return pa.RecordBatch.from_arrays([got.column(c).combine_chunks().filter(pa.array(near)) for c in ("key", "_k", "n")], names=["key", "_k", "n"])
+        near = pa.array(close_by(got.column("key").to_numpy(), test_of(got), most))
+        return pa.RecordBatch.from_arrays([got.column(c).combine_chunks().filter(near) for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, large = [], 0, None
         for batch in batches:
             if large is not None:  # the rest of a large bucket
                 end = int(np.searchsorted(batch.column("key").to_numpy(), large, "right"))
-                yield batch.slice(0, end).select(["key", "_k", "n"])
+                yield batch.slice(0, end).select(names)
                 batch, large = batch.slice(end), large if end == batch.num_rows else None
             if not batch.num_rows:
                 continue
@@ -311,13 +313,58 @@ def met(rows: DataFrame) -> DataFrame:
                 yield kept(got.slice(0, cut))
             held, rows = got.slice(cut).to_batches(), rows - cut
             if rows > most:
-                yield from (x.select(["key", "_k", "n"]) for x in held)
+                yield from (x.select(names) for x in held)
                 held, rows, large = [], 0, int(key[-1])
         if rows:
             yield kept(pa.Table.from_batches(held))
 
-    spread = rows.select(F.explode("bands").alias("key"), "_k", "n", "high", "low")
-    return spread.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "key bigint, _k bigint, n int")
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "key bigint, _k bigint, n int, high bigint, low bigint")
+
+
+def met(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(key, _k, n, high, low): the rows of each table's buckets that are close by another one of theirs, for their further bits differ in APART at most and their sizes allow the similarity; of a bucket of over MET_MOST, all."""
+
+    def test_of(got: pa.Table):
+        high, low = (got.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))  # of signed values the absolute ones would be counted
+        n = got.column("n").to_numpy()
+
+        def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j]) <= APART
+            at = np.flatnonzero(out)
+            out[at] = np.minimum(n[i[at]], n[j[at]]) >= similarity * np.maximum(n[i[at]], n[j[at]])
+            return out
+
+        return test
+
+    return close_rows(rows.select(F.explode("bands").alias("key"), "_k", "n", "high", "low"), test_of, MET_ROWS, MET_MOST)
+
+
+def alike(buckets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """buckets (key, _k, n, high, low) with the rows only that have another one in the bucket whose set may be similar by size and sketch (of rows), and with which they share no table before it; a bucket of over ALIKE_MOST stays whole.
+
+    No pair that open_pairs() would return is lost: it makes the same tests.
+    """
+
+    def test_of(got: pa.Table):
+        table, n = got.column("key").to_numpy() >> TABLE_BITS, got.column("n").to_numpy()
+        sketch, places = (np.frombuffer(b"".join(got.column(c).to_pylist()), kind).reshape(got.num_rows, -1) for c, kind in (("sketch", np.uint8), ("places", np.uint16)))
+
+        def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+            for bins in (PREFIX, 0, BINS):
+                left = np.flatnonzero(out)
+                for k in range(0, len(left), 4096):
+                    at = left[k : k + 4096]
+                    if bins:
+                        a, b = sketch[i[at], :bins], sketch[j[at], :bins]
+                        out[at] = near_enough(((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1), similarity)
+                    else:
+                        out[at] = (places[i[at]] == places[j[at]]).argmax(axis=1) == table[i[at]]
+            return out
+
+        return test
+
+    return close_rows(buckets.join(rows.select("_k", "places", "sketch"), "_k"), test_of, ALIKE_ROWS, ALIKE_MOST)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -361,29 +408,25 @@ def sketch_pairs(x: np.ndarray, y: np.ndarray, ok: np.ndarray, similarity: float
     return p[keep], q[keep], share[keep]
 
 
-def hub_pairs(buckets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """buckets (key, _k): records of PAIRS_OF for each row and the nearest of the smallest and largest rows of its buckets, by the first PREFIX bins."""
+def hub_pairs(buckets: DataFrame) -> DataFrame:
+    """buckets (key, _k, n, high, low): records of PAIRS_OF for each row and the nearest of the smallest and largest rows of its buckets, by their further bits.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a", "b"))
-            same, either = ((a == b) & (a > 0)).sum(axis=1), ((a > 0) | (b > 0)).sum(axis=1)
-            ok = pa.array(near_enough(same, either, similarity))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(ok) for c in ("u", "v")), pa.array(same / np.maximum(either, 1)).filter(ok)], names=["u", "v", "share"])
-
-    ends = buckets.groupBy("key").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"))
-    met = buckets.join(ends, "key").select(F.col("_k").alias("u"), F.explode(F.array("lo", "hi")).alias("v")).where("u <> v").distinct()
-    part = F.substring("sketch", 1, PREFIX)
-    one, two = rows.select(F.col("_k").alias("u"), part.alias("a")), rows.select(F.col("_k").alias("v"), part.alias("b"))
-    near = met.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint, share double")
-    best = near.groupBy("u").agg(F.max(F.struct("share", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+    It is the nearest before anything is joined to it, so a row makes one pair
+    however many buckets it is in and however many rows these have.
+    """
+    row = F.struct("_k", "high", "low")
+    ends = buckets.groupBy("key").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+
+    def pair(end: str) -> Column:
+        apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{end}.{c}"))) for c in ("high", "low"))
+        return F.when((F.col(f"{end}._k") != F.col("_k")) & (apart <= APART), F.struct(apart.alias("apart"), F.col(f"{end}._k").alias("v")))
+
+    met = buckets.join(ends, "key").select(F.col("_k").alias("u"), "n", F.least(pair("lo"), pair("hi")).alias("x")).where("x is not null")
+    best = met.groupBy("u").agg(F.min("x").alias("x"), F.max("n").alias("n")).select("u", "n", F.col("x.v").alias("v"))
     # A hub's rows are dealt into parts, so that no task has all of a hot one's.
-    sized = best.join(rows.select(F.col("_k").alias("u"), "n"), "u")
-    parts = sized.groupBy("v").agg(by_size().alias("parts"))
-    cells = sized.join(parts, "v").select("u", "v", F.xxhash64("v", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("cell")).groupBy("cell", "v").agg(F.collect_list("u").alias("us"))
-    return cells.select("cell", F.concat(F.array("v"), "us").alias("members"), F.sequence(F.lit(1), F.size("us")).alias("p"), F.array_repeat(F.lit(0), F.size("us")).alias("q"), F.lit(False).alias("more"))
+    parts = best.groupBy("v").agg(by_size().alias("parts"))
+    cells = best.join(parts, "v").select("u", "v", F.xxhash64("v", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("cell")).groupBy("cell", "v").agg(F.collect_list("u").alias("us"))
+    return cells.select("cell", F.lit(None).cast("bigint").alias("key"), F.concat(F.array("v"), "us").alias("members"), F.sequence(F.lit(1), F.size("us")).alias("p"), F.array_repeat(F.lit(0), F.size("us")).alias("q"), F.lit(False).alias("more"))
 
 
 def by_size():
@@ -392,7 +435,7 @@ def by_size():
 
 
 def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, similarity: float, most: int) -> DataFrame:
-    """buckets (key, _k): records of PAIRS_OF for the pairs of a bucket in different components whose sketches may be those of similar sets.
+    """buckets (key, _k, n): records of PAIRS_OF, as a table, for the pairs of a bucket in different components whose sketches may be those of similar sets.
 
     A pair belongs to the first table that it shares, so it comes once. Each row has
     its `most` closest such partners of a cell; more tells that it has others. A
@@ -434,27 +477,29 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, rows: DataFrame, similarity
                 qs.append(q[nth < most])
                 held += len(ps[-1])
                 if held > RECORD_PAIRS:
-                    yield record(cell, len(ps) + at, node, ps, qs, over)
+                    yield record(cell, len(ps) + at, key, node, ps, qs, over)
                     ps, qs, held = [], [], 0
             if held:
-                yield record(cell, -1, node, ps, qs, over)
+                yield record(cell, -1, key, node, ps, qs, over)
 
-    state = buckets.join(roots.select(F.col("u").alias("_k"), "root"), "_k", "left").select("key", "_k", "n", F.coalesce("root", "_k").alias("root"))
+    state = materialize(buckets.join(roots.select(F.col("u").alias("_k"), "root"), "_k", "left").select("key", "_k", "n", F.coalesce("root", "_k").alias("root")), "state")
     open_keys = state.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), by_size().alias("parts")).where("a < b").select("key", "parts")
     dealt = state.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("_k"), F.col("parts")).cast("int"))
     dealt = dealt.select("key", "_k", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"))
     dealt = dealt.select("key", "_k", "root", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j")).withColumn("cell", F.xxhash64("key", "i", "j"))
     cells = dealt.join(rows.select("_k", "bands", "sketch"), "_k").repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "_k")
-    return cells.mapInArrow(run, PAIRS_OF)
+    out = materialize(cells.mapInArrow(run, PAIRS_OF), "pairs")
+    discard(state)
+    return out
 
 
-def record(cell: int, number: int, node: np.ndarray, ps: list[np.ndarray], qs: list[np.ndarray], more: bool) -> pa.RecordBatch:
+def record(cell: int, number: int, key: int, node: np.ndarray, ps: list[np.ndarray], qs: list[np.ndarray], more: bool) -> pa.RecordBatch:
     """Some pairs of a cell's rows as one record."""
     p, q = np.concatenate(ps), np.concatenate(qs)
     places, at = np.unique(np.concatenate((p, q)), return_inverse=True)
     name = int(mixed(np.array([(cell + number) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
-    columns = [pa.array([name]), pa.array([node[places]], pa.list_(pa.int64())), pa.array([at[: len(p)].astype(np.int32)], pa.list_(pa.int32())), pa.array([at[len(p) :].astype(np.int32)], pa.list_(pa.int32())), pa.array([more])]
-    return pa.RecordBatch.from_arrays(columns, names=["cell", "members", "p", "q", "more"])
+    columns = [pa.array([name]), pa.array([key]), pa.array([node[places]], pa.list_(pa.int64())), pa.array([at[: len(p)].astype(np.int32)], pa.list_(pa.int32())), pa.array([at[len(p) :].astype(np.int32)], pa.list_(pa.int32())), pa.array([more])]
+    return pa.RecordBatch.from_arrays(columns, names=["cell", "key", "members", "p", "q", "more"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -495,30 +540,35 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_components(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """keyed (_k, _t): (u, root) of the rows that a chain of similar pairs links; the pairs are those whose SimHashes meet.
 
-    Only pairs with a verified link ever count as connected. First each row meets
+    Only pairs with a verified link ever count as connected. Buckets lose the rows
+    that are like none of theirs. Then each row meets
     the nearest of its buckets' smallest and largest keys, which joins groups of
     near copies without their square of pairs. Then all pairs of a bucket that are
     still in different components follow, the closest of each row first and a
     growing number of them a round, until no row has any left.
     """
     rows = materialize(signatures(keyed, shingle), "signatures")
-    buckets = materialize(met(rows).distinct(), "buckets")
-    some = buckets.select("_k").distinct()
-    sketches = materialize(rows.select("_k", "n", "bands", "sketch").join(some, "_k", "left_semi").dropDuplicates(["_k"]), "sketches")
-    sets = materialize(shingle_sets(keyed.join(some, "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
+    near = materialize(met(rows, similarity).distinct(), "near")
+    sketches = materialize(rows.select("_k", "bands", "places", "sketch").join(near.select("_k").distinct(), "_k", "left_semi").dropDuplicates(["_k"]), "sketches")
     discard(rows)
-    pairs = materialize(hub_pairs(buckets, sketches, similarity), "pairs")
+    buckets = materialize(alike(near, sketches, similarity), "buckets")
+    discard(near)
+    sets = materialize(shingle_sets(keyed.join(buckets.select("_k").distinct(), "_k", "left_semi"), shingle).dropDuplicates(["_k"]), "shingles")
+    pairs = materialize(hub_pairs(buckets), "pairs")
     links = verified(pairs, sets, similarity)
     roots = connected_components(links)
     discard(pairs, links)
     most = FIRST
     while True:
-        pairs = materialize(open_pairs(buckets, roots, sketches, similarity, most), "pairs")
+        pairs = open_pairs(buckets, roots, sketches, similarity, most)
         n, more = pairs.agg(F.count("*"), F.max("more")).first()
         if n:
             links = verified(pairs, sets, similarity)
             before, roots = roots, connected_components(roots.select("u", F.col("root").alias("v")).union(links))
             discard(links, before)
+        if more:  # of other buckets all pairs have been tested
+            done, buckets = buckets, materialize(buckets.join(pairs.where("more").select("key").distinct(), "key", "left_semi"), "buckets")
+            discard(done)
         discard(pairs)
         if not more:
             break

@@ -254,3 +254,62 @@ def test_rows_that_meet(spark, monkeypatch, size, most):
         own = [(k, p) for k, p, keys in rows if key in keys]
         want |= {(key, k) for k, p in own if len(own) > most or any(j != k and (p ^ q).bit_count() <= simhash.APART for j, q in own)}
     assert got == sorted(want) and len(want) < 780
+
+
+def joined(plan, key):
+    """Rows that the joins by this key made, all in all."""
+    name, below = plan.nodeName(), [plan.children().apply(i) for i in range(plan.children().size())]
+    below += [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else []
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name and re.search(rf"Join \[{key}#", plan.simpleString(100)) else 0
+    return own + sum(joined(x, key) for x in below)
+
+
+def test_hubs_cost_a_row_each(spark, monkeypatch):
+    """However many buckets the rows of a large group of near copies share, no more pairs with hubs are joined than it has rows."""
+    made, plain = [], simhash.materialize
+
+    def materialize(df, name):
+        if name == "pairs":
+            df.collect()
+            made.append(joined(df._jdf.queryExecution().executedPlan(), "v"))
+        return plain(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    r = random.Random(31)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in r.sample(range(150), 2):
+            w[at] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    kept, want, near = kept_and_wanted(spark, texts)
+    assert kept == want and len(near) > 100
+    assert 0 < made[0] <= len(texts)
+
+
+@pytest.mark.parametrize("size, most", [(1 << 14, 4096), (50, 40)])
+def test_buckets_lose_no_pair(spark, monkeypatch, size, most):
+    """Buckets without the rows that have no pair there give the same pairs, each once, as whole ones; rows of a large bucket stay."""
+    monkeypatch.setattr(simhash, "ALIKE_ROWS", size)
+    monkeypatch.setattr(simhash, "ALIKE_MOST", most)
+    r = random.Random(32)
+    texts = ["", " ", "a b"]
+    for _ in range(4):
+        base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        for _ in range(20):
+            w = list(base)
+            for at in r.sample(range(100), r.randint(1, 8)):
+                w[at] = f"v{r.randrange(10**6)}"
+            texts.append(" ".join(w[: r.randint(70, 100)]))
+    rows = simhash.materialize(simhash.signatures(spark.createDataFrame(list(enumerate(texts)), "_k bigint, _t string"), 5), "signatures")
+    spread = rows.select(F.explode("bands").alias("key"), "_k", "n", "high", "low")
+    left = simhash.materialize(simhash.alike(spread, rows, 0.8), "buckets")
+    none = spark.createDataFrame([], "u bigint, root bigint")
+    pairs = lambda buckets: sorted(tuple(sorted((x["members"][p], x["members"][q]))) for x in simhash.open_pairs(buckets, none, rows, 0.8, 1000).collect() for p, q in zip(x["p"], x["q"]))
+    whole, got = pairs(spread), pairs(left)
+    # Pairs whose sizes are too far apart go with no row's sketch.
+    n = {x["_k"]: x["n"] for x in rows.collect()}
+    sized = lambda found: [(a, b) for a, b in found if min(n[a], n[b]) >= 0.8 * max(n[a], n[b])]
+    assert sized(got) == sized(whole) and len(set(got)) == len(got) > 100 and (0, 1) in got
+    assert left.count() < spread.count() / 2
